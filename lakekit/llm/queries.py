@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..common import read
 from ..operators.live_files import live_files
-from . import multiselect, name_index
+from . import leaks, multiselect, name_index
 
 
 def _percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +25,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return name_index.dedup_batches(read(spark, d, "people"), read(spark, d, "people_batches"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_percentiles)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_percentiles, p7_found)}
 
 _P3 = """
 WITH act AS (SELECT DISTINCT path, version, lower(action) AS action, table_path, size, numRecords,

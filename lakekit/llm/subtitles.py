@@ -55,7 +55,10 @@ def repair(text: str) -> tuple[str, Positions | None]:
     Windows-1252 (they don't). Text that doesn't decode cleanly is left as it is."""
     if text.isascii() or not (high := len(_HIGH.findall(text))):
         return text, None
-    if _LEAD.search(text):
+    lead = len(_LEAD.findall(text))
+    if high > 20 and 2 * lead < high and high > 0.5 * len(_LETTER.findall(text)):
+        return text.translate(_TO_1251), None
+    if lead:
         out, cuts, at, n = [], [], 0, 0
         for m in _RUN.finditer(text):
             try:
@@ -75,8 +78,6 @@ def repair(text: str) -> tuple[str, Positions | None]:
         if cuts:
             out.append(text[at:])
             return "".join(out), Positions(cuts)
-    if high > 20 and high > 0.5 * len(_LETTER.findall(text)):
-        return text.translate(_TO_1251), None
     return text, None
 
 
