@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..common import read
 from ..operators.live_files import live_files
-from . import leaks, multiselect, name_index
+from . import leaks, mixture, multiselect, name_index, sentences
 
 
 def _percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +29,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_percentiles, p7_found)}
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix_sources(read(spark, d, "documents"), read(spark, d, "source_weights")).documents
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mix_sources(read(spark, d, "documents"), read(spark, d, "source_weights")).shares
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.found_sentences(read(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_percentiles, p7_found, p8_mix, p8_shares, p9_found)}
 
 _P3 = """
 WITH act AS (SELECT DISTINCT path, version, lower(action) AS action, table_path, size, numRecords,

@@ -89,7 +89,7 @@ _NOISE = re.compile(r"\{[^{}\n]{0,40}\}|<[^<>]{0,80}>|\[[^\[\]]{0,80}\]|\([^()]{
 AD_SIGNS = (
     ".example", "d o t e", "_subs", "ads@", "casino now", "code: sub", "release group", "www.", "-subs.", "subtitles by", " team", "captioning", "sponsored by", "translated by", "re-upload", "ripped &", "encoded by",
     "sync and", "corrections by", "rate this", "id=", "help others", "support us", "vip member", "advertise", "product here", "for more", "downloaded", "free forever", "untertitel von", "subtítulos", "síguenos",
-    "sous-titres", "перевод:", "студия", "उपशीर्षक:", "ترجمة:", "แปลโดย", "字幕：", "字幕:", "字幕组", "字幕組", "扫码加入",
+    "sous-titres", "перевод:", "студия", "उपशीर्षक:", "ترجمة:", "แปลโดย", "字幕：", "字幕:", "字幕组", "字幕組", "扫码加入", "t.me/",
 )
 _QUOTE = "\"“”„«»‘’‚‹›「」『』"
 _NAME = re.compile(r"(?:^|[\s\x1e])((?:>> ?)?[^\s:：.!?…,;，。！？、؟।\"“”„«»‘‚‹›「」『』\x1e\x02]{2,40}[\u00a0\u202f ]?)\Z")
@@ -119,7 +119,7 @@ def _without_names(s: str) -> str:
         if n is None:
             continue
         marked = n[1].startswith(">>")
-        if not marked and (_SPEECH.match(s, p + 1) or not (s[p + 1 : p + 2].isspace() or TURN in s[max(0, n.start() - 3) : n.start() + 1])):
+        if not marked and (_SPEECH.match(s, p + 1) or not (s[p + 1 : p + 2].isspace() or s[p - 1] >= "\u0e00" or TURN in s[max(0, n.start() - 3) : n.start() + 1])):
             continue
         out += (s[at : n.start(1)], TURN, " " * (p - n.start(1)))
         at = p + 1
