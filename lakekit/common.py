@@ -47,7 +47,8 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: list
     smaller than ``big``). ``how``: inner, left, left_semi, left_anti. Null keys never match."""
     b = big.withColumn("__salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
     s = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return b.join(s, [*keys, "__salt"], how).drop("__salt")
+    extra = [] if how in ("left_semi", "left_anti") else [c for c in small.columns if c not in keys]
+    return b.join(s, [*keys, "__salt"], how).select(*[F.col(f"`{c}`") for c in (*big.columns, *extra)])
 
 
 def hot_slices(df: DataFrame, keys: list[str], order: str, max_rows: int = 200_000, slices: int = 64, name: str = "__slice") -> DataFrame:

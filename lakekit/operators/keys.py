@@ -29,30 +29,28 @@ def key_counts(df: DataFrame, size: int, exclude: list[str] | None = None) -> Da
     count as values."""
     columns = [c for c in df.columns if c not in (exclude or [])]
     sets = list(combinations(columns, size))
-    rest = df.select(*[F.col(f"`{c}`") for c in columns])
     if not sets:
         return df.sparkSession.createDataFrame([], "columns string, n_distinct long, n_rows_distinct long")
-    one = rest.agg(F.count_distinct(_whole(columns)).alias("all"), *[F.count_distinct(_whole(s)).alias(f"n{i}") for i, s in enumerate(sets)])
+    one = df.agg(F.count_distinct(_whole(df.columns)).alias("all"), *[F.count_distinct(_whole(s)).alias(f"n{i}") for i, s in enumerate(sets)])
     listed = F.explode(F.array(*[F.struct(F.lit(",".join(s)).alias("columns"), F.col(f"n{i}").alias("n_distinct"), F.col("all").alias("n_rows_distinct")) for i, s in enumerate(sets)]))
     return one.select(listed.alias("x")).select("x.*")
 
 
 def find_composite_key(df: DataFrame, exclude: list[str] | None = None) -> list[str]:
-    """The smallest combination of columns, first in column order, with as many distinct values as there
-    are distinct rows; never all columns; empty if there is none. One job per size, ending with the first
-    size that has a key: a cheap sketch (relative error about 2 %) rules out most combinations, the
-    others are counted exactly."""
+    """The smallest combination of columns that aren't excluded, first in column order, with as many
+    distinct values as the whole table has distinct rows; never all columns of the table; empty if there
+    is none. Null counts as a value; in an empty table the first column will do. One job per size, ending
+    with the first size that has a key: a sketch (relative error about 2 %) rules out most combinations,
+    the others are counted exactly."""
     columns = [c for c in df.columns if c not in (exclude or [])]
-    rest = df.select(*[F.col(f"`{c}`") for c in columns])
-    if not columns:
-        return []
-    for size in range(1, len(columns)):
+    rest, rows = df, _whole(df.columns)
+    for size in range(1, min(len(columns), len(df.columns) - 1) + 1):
         sets = list(combinations(columns, size))
-        sketch = rest.agg(F.approx_count_distinct(_whole(columns), 0.02).alias("all"), *[F.approx_count_distinct(_whole(s), 0.02).alias(f"n{i}") for i, s in enumerate(sets)]).first()
+        sketch = rest.agg(F.approx_count_distinct(rows, 0.02).alias("all"), *[F.approx_count_distinct(_whole(s), 0.02).alias(f"n{i}") for i, s in enumerate(sets)]).first()
         likely = [s for i, s in enumerate(sets) if sketch[f"n{i}"] >= 0.8 * sketch["all"]]
         for at in range(0, len(likely), 8):
             some = likely[at : at + 8]
-            exact = rest.agg(F.count_distinct(_whole(columns)).alias("all"), *[F.count_distinct(_whole(s)).alias(f"n{i}") for i, s in enumerate(some)]).first()
+            exact = rest.agg(F.count_distinct(rows).alias("all"), *[F.count_distinct(_whole(s)).alias(f"n{i}") for i, s in enumerate(some)]).first()
             for i, s in enumerate(some):
                 if exact[f"n{i}"] == exact["all"]:
                     return list(s)

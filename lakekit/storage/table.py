@@ -338,13 +338,17 @@ class LakeTable:
                     raise
 
 
+def _at_most(value: Column):
+    return lambda bound: bound <= value
+
+
 def _interleaved(df: DataFrame, columns: list[str]) -> list[Column]:
     """Sort keys that cluster by several columns at once: the bits of their quantile ranks, interleaved."""
     if len(columns) == 1:
         return [F.col(f"`{columns[0]}`")]
     num = {c: F.col(f"`{c}`") if isinstance(df.schema[c].dataType, T.NumericType) else F.xxhash64(F.col(f"`{c}`")) for c in columns}
     cuts = df.agg(*[F.percentile_approx(num[c], [i / 256 for i in range(1, 256)], 2000).alias(c) for c in columns]).first()
-    ranks = [F.size(F.filter(F.array(*[F.lit(x) for x in cuts[c]]), lambda b, c=c: b <= num[c])) for c in columns]
+    ranks = [F.size(F.filter(F.array(*[F.lit(x) for x in cuts[c]]), _at_most(num[c]))) for c in columns]
     bits = [F.shiftleft(F.shiftright(r, b).bitwiseAND(F.lit(1)), b * len(columns) + i) for i, r in enumerate(ranks) for b in range(8) if b * len(columns) + i < 31]
     z = bits[0]
     for b in bits[1:]:
