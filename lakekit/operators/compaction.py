@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import salted_join
+from ..common import materialize, salted_join
 
 SMALL = 16 * 1024 * 1024
 TARGET = 128 * 1024 * 1024
@@ -15,7 +15,7 @@ def small_files(live: DataFrame, below: int = SMALL, at_least: int = 2) -> DataF
     """Live files of known size below ``below`` in partitions that have ``at_least`` such files. Counting
     is combined on the map side; files are joined back to the counts in salted tasks, so a partition with
     most of all files is not one task."""
-    small = live.filter(F.col("size").isNotNull() & (F.col("size") < below))
+    small = materialize(live.filter(F.col("size").isNotNull() & (F.col("size") < below)), "small-files")  # read twice below
     crowded = small.groupBy("table_path", "part").agg(F.count("*").alias("n")).filter(F.col("n") >= at_least).drop("n")
     return salted_join(small, crowded, ["table_path", "part"], ["path"], "inner")
 
