@@ -114,7 +114,8 @@ class Mixture:
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame, total: int | None = None, seed: int = 42, tokenizer: str = TOKENIZER, buckets: int = 1024) -> Mixture:
-    """A mix of about ``total`` tokens (default: the tokens of all documents of weighted sources).
+    """A mix of about ``total`` tokens; by default as many as leave every source that has documents its
+    share. Beyond that, what a source can't give goes to the others.
 
     No document is used more often than its source's ``max_repeats``. Documents without text, of no
     source or of a source without weight are not used; repeated rows are documents of their own. Sources
@@ -136,7 +137,10 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: int | None = None, s
         if s in wanted:
             root.children[s].children[l] = Node(float(t), float(t) * wanted[s][1])
     have = {(s, l): t for s, l, t in leaves if s in wanted}
-    dealt = budgets(root, float(total if total is not None else sum(have.values())))
+    if total is None:
+        there = {s: (n.weight, n.can_give()) for s, n in root.children.items() if n.weight > 0 and n.can_give() > 0}
+        total = int(min((most / w for w, most in there.values()), default=0.0) * sum(w for w, _ in there.values()))
+    dealt = budgets(root, float(total))
     rows = [(s, l, int(b // have[s, l]), int(b) - int(b // have[s, l]) * have[s, l]) for (s, l), b in dealt.items()]
     plan = spark.createDataFrame(rows, "source string, language string, epochs int, rest long")
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -146,9 +150,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: int | None = None, s
     uses = F.col("epochs") + (F.col("before") + F.col("upto") <= F.col("rest")).cast("int")
     mixed = filled.withColumn("uses", uses).filter("uses > 0").select("doc_id", *leaf, "tokens", "uses")
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("mixed_tokens"))
-    there = per_bucket.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
+    stock = per_bucket.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
     target = spark.createDataFrame([(s, w, m) for s, (w, m) in wanted.items()], "source string, target_weight double, max_repeats int")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    shares = target.join(there, "source", "left").join(used, "source", "left").select("source", "target_weight", "max_repeats", zero("available_tokens"), zero("mixed_tokens"))
+    shares = target.join(stock, "source", "left").join(used, "source", "left").select("source", "target_weight", "max_repeats", zero("available_tokens"), zero("mixed_tokens"))
     everything = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))  # one row per source
     return Mixture(mixed, shares.withColumn("share", F.when(everything > 0, F.col("mixed_tokens") / everything).otherwise(F.lit(0.0))))

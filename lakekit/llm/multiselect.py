@@ -100,7 +100,8 @@ def percentiles(runs: DataFrame, keys: list[str], percents: tuple[int, ...] = PE
     ``direct``: a group (or what is left of it) of at most so many values is finished in one task; a
     bound on memory, not on results. Empty input gives no groups; equal values are no special case.
     """
-    runs = materialize(runs.withColumns({k: F.coalesce(F.concat(F.lit("="), k), F.lit("")) for k in keys}), "runs")
+    names, keys = keys, [f"__k{i}" for i in range(len(keys))]  # the names may be any, also those used below
+    runs = materialize(runs.select(*[F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`")), F.lit("")).alias(k) for k, c in zip(keys, names, strict=True)], "run"), "runs")
     counts = runs.groupBy(*keys).agg(F.sum(F.size("run")).cast("long").alias("n"))
     counts = materialize(counts, "counts")
     rank = lambda p: ((F.col("n") * p + 99) / 100).cast("long")
@@ -144,8 +145,8 @@ def percentiles(runs: DataFrame, keys: list[str], percents: tuple[int, ...] = PE
     for d in done[1:]:
         every = every.unionByName(d)
     wide = every.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p}") for p in percents])
-    plain = {k: F.when(F.col(k) != "", F.substring(k, 2, 2147483647)) for k in keys}
-    return counts.join(wide, keys).withColumns(plain)
+    plain = [F.when(F.col(k) != "", F.substring(k, 2, 2147483647)).alias(c) for k, c in zip(keys, names, strict=True)]
+    return counts.join(wide, keys).select(*plain, "n", *[f"p{p}" for p in percents])
 
 
 def file_metrics(live: DataFrame) -> DataFrame:

@@ -99,9 +99,10 @@ def _one_slip(a: Column, b: Column) -> Column:
 
 
 def same_name(form_a: Column, form_b: Column) -> Column:
-    """At most one slip between the full names, the words of one taken in any rotation."""
-    a = F.replace(form_a, F.lit(" "))
-    return F.exists(rotations(F.split(form_b, " ")), lambda b: _one_slip(a, b))
+    """At most one slip between the full names, the words of either taken in any rotation (a blank may
+    stand anywhere, so the words of the two need not match one to one)."""
+    ends = rotations(F.split(form_b, " "))
+    return F.exists(rotations(F.split(form_a, " ")), lambda a: F.exists(ends, lambda b: _one_slip(a, b)))
 
 
 class NameIndex:

@@ -50,41 +50,68 @@ class Positions:
         return ends[j] if j < len(ends) else stored_end + (j - len(ends))
 
 
-def repair(text: str) -> tuple[str, Positions | None]:
-    """Undo a wrong decoding: UTF-8 read as Windows-1252 (positions change) and Windows-1251 read as
-    Windows-1252 (they don't). Text that doesn't decode cleanly is left as it is."""
-    if text.isascii() or not (high := len(_HIGH.findall(text))):
-        return text, None
-    lead = len(_LEAD.findall(text))
-    if high > 20 and 2 * lead < high and high > 0.5 * len(_LETTER.findall(text)):
-        return text.translate(_TO_1251), None
-    if lead:
-        out, cuts, at, n = [], [], 0, 0
-        for m in _RUN.finditer(text):
-            try:
-                fixed = bytes([_CP1252[c] for c in m[0]]).decode("utf-8")
-            except UnicodeDecodeError:
+class Chain:
+    """Positions after several repairs, the last one first."""
+
+    def __init__(self, maps: list[Positions]):
+        self.maps = maps
+
+    def last(self, i: int) -> int:
+        for m in reversed(self.maps):
+            i = m.last(i)
+        return i
+
+
+def _as_utf8(text: str, otherwise_1251: bool) -> tuple[str, Positions | None]:
+    """Decode runs of letters that are UTF-8 read as Windows-1252; other runs are left, or read as
+    Windows-1251."""
+    out, cuts, at, n = [], [], 0, 0
+    for m in _RUN.finditer(text):
+        try:
+            if not _LEAD.search(m[0]):
                 continue
-            out.append(text[at : m.start()])
-            n += m.start() - at
-            ends, p = [], m.start()
-            for c in fixed:
-                p += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
-                ends.append(p - 1)
-            cuts.append((n, m.end(), ends))
-            out.append(fixed)
-            n += len(fixed)
-            at = m.end()
-        if cuts:
-            out.append(text[at:])
-            return "".join(out), Positions(cuts)
-    return text, None
+            fixed = bytes([_CP1252[c] for c in m[0]]).decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        before = text[at : m.start()]
+        out.append(before.translate(_TO_1251) if otherwise_1251 else before)
+        n += m.start() - at
+        ends, p = [], m.start()
+        for c in fixed:
+            p += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
+            ends.append(p - 1)
+        cuts.append((n, m.end(), ends))
+        out.append(fixed)
+        n += len(fixed)
+        at = m.end()
+    rest = text[at:]
+    out.append(rest.translate(_TO_1251) if otherwise_1251 else rest)
+    return "".join(out), Positions(cuts) if cuts else None
+
+
+def repair(text: str) -> tuple[str, Positions | Chain | None]:
+    """Undo wrong decodings, also repeated ones: UTF-8 read as Windows-1252 (positions change) and
+    Windows-1251 read as Windows-1252 (they don't). What doesn't decode cleanly is left as it is."""
+    maps = []
+    for _ in range(3):
+        if text.isascii() or not (high := len(_HIGH.findall(text))):
+            break
+        lead = len(_LEAD.findall(text))
+        cyrillic = high > 20 and 2 * lead < high and high > 0.5 * len(_LETTER.findall(text))
+        if not lead and not cyrillic:
+            break
+        text, where = _as_utf8(text, cyrillic) if lead else (text.translate(_TO_1251), None)
+        if where is not None:
+            maps.append(where)
+        elif not cyrillic:
+            break
+    return text, None if not maps else maps[0] if len(maps) == 1 else Chain(maps)
 
 
 # ---------------------------------------------------------------- what is not speech
 
 _TIMES = re.compile(r"^(?:\ufeff?[ \t]*-?\d+[ \t]*\r?\n)?\ufeff?[ \t]*\d{1,3}:\d\d:\d\d[.,]\d+[ \t]*-{1,2}>[^\n]*|^\ufeff?WEBVTT[^\n]*", re.M)
-_NOISE = re.compile(r"\{[^{}\n]{0,40}\}|<[^<>]{0,80}>|\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|（[^（）]{0,80}）|【[^【】]{0,80}】|\*\*[^\n]{0,80}\*\*|\*[^*\n]{0,80}\*|♪[^♪\n]{0,80}♪|♪|\ufeff")
+_NOISE = re.compile(r"\{[^{}\n]{0,40}\}|<[^<>]{0,80}>|\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|（[^（）]{0,80}）|【[^【】]{0,80}】|\*\*[^\n]{0,80}\*\*|\*[^*\n]{0,80}\*|♪[^♪\n]{0,80}♪|♪|��|� [^�\n.!?…]{1,60} �|\ufeff")
 # Signs of an advert or credit in its line; most adverts have several, should one be misread.
 AD_SIGNS = (
     ".example", "d o t e", "_subs", "ads@", "casino now", "code: sub", "release group", "www.", "-subs.", "subtitles by", " team", "captioning", "sponsored by", "translated by", "re-upload", "ripped &", "encoded by",
@@ -119,6 +146,8 @@ def _without_names(s: str) -> str:
         if n is None:
             continue
         marked = n[1].startswith(">>")
+        if not marked and n[1][0].islower():
+            continue
         if not marked and (_SPEECH.match(s, p + 1) or not (s[p + 1 : p + 2].isspace() or s[p - 1] >= "\u0e00" or TURN in s[max(0, n.start() - 3) : n.start() + 1])):
             continue
         out += (s[at : n.start(1)], TURN, " " * (p - n.start(1)))
@@ -148,8 +177,8 @@ def spoken(text: str) -> str:
     s = _NOISE.sub(_blank, s)
     s = _without_adverts(s)
     s = _DASH.sub(_turn, s)
-    s = _without_names(s)
-    return _shown_again(s)
+    s = _shown_again(s)
+    return _without_names(s)
 
 
 def _shown_again(s: str) -> str:
