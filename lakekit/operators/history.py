@@ -23,15 +23,15 @@ def statements(snapshot: DataFrame, updates: DataFrame, key: str = "pkey", attr:
     return best.select(key, "t", (F.col("b.rank") > 0).alias("has_value"), F.col("b.attr").alias("attr"))
 
 
-def islands(st: DataFrame, key: str = "pkey") -> DataFrame:
+def islands(st: DataFrame, key: str = "pkey", max_rows: int = 200_000) -> DataFrame:
     """(key, attr, effective_time, end_time, is_current) from statements.
 
     Neighbouring statements with the same attribute (null equals null) are one island. Keys with very
-    many statements are cut into time slices; the last hash before a slice and the first change after it
+    more than ``max_rows`` statements are cut into time slices; the last hash before a slice and the first change after it
     are carried over in a small table of slices, so no task sees all rows of a hot key.
     """
     h = F.xxhash64(F.when(F.col("has_value"), 1).otherwise(0), F.col("attr").isNull(), F.col("attr"))
-    s = hot_slices(st.withColumn("h", h), [key], "t")
+    s = hot_slices(st.withColumn("h", h), [key], "t", max_rows)
     s = materialize(s, "statements")
     per_slice = s.groupBy(key, "__slice").agg(F.max(F.struct("t", "h"))["h"].alias("last_h"))
     along = Window.partitionBy(key).orderBy("__slice")

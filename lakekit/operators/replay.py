@@ -98,7 +98,7 @@ def replay(changes: DataFrame, keys: list[str], sequence: str, change_type: str,
             cols.append((fresh | x[f"__has_{i}"] | acc[f"__has_{i}"]).alias(f"__has_{i}"))
         return F.struct(*cols)
 
-    folded = listed.withColumn("__s", F.when(F.size("__parts") == 1, F.element_at("__parts", 1)).otherwise(F.aggregate(F.slice("__parts", 2, 2147483647), F.element_at("__parts", 1), fold)))
+    folded = listed.withColumn("__s", F.when(F.size("__parts") == 1, F.element_at("__parts", 1)).otherwise(F.aggregate(F.slice("__parts", 2, F.size("__parts")), F.element_at("__parts", 1), fold)))
     alive = folded.filter(F.col("__s.__reset") != REMOVE)
     return alive.select(*keys, *[F.col("__s")[v].alias(v) for v in values], F.col("__s.__last").alias(sequence))
 
