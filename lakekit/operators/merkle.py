@@ -12,6 +12,7 @@ any other hashed column are part of the digest. Empty input gives an empty tree.
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +28,17 @@ def _digest(n: Column, x: Column, s: Column) -> list[Column]:
     return [F.sum(n).alias("n"), F.expr("bit_xor(__x)").alias("x"), F.sum(s).alias("s")]
 
 
+def row_hash(columns: list[str]) -> Column:
+    """Hash of a row. Which columns are null is hashed too, as a null alone leaves the hash as it was."""
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in columns])
+    return F.xxhash64(*[F.col(c).cast("string") for c in columns], nulls)
+
+
 def leaf_digests(rows: DataFrame, tree_key: list[str], leaf: Column, hashed: list[str], where: Column | None = None) -> DataFrame:
     """(tree key, block, n, x, s): row count, xor and bounded sum of row hashes of each leaf. Aggregated
     before the shuffle, so a leaf that holds most rows costs no more than any other. ``where`` restricts
     the digest to a part of the rows; leaves without such rows are absent."""
-    h = F.xxhash64(*[F.col(c).cast("string") for c in hashed])
+    h = row_hash(hashed)
     one = rows.select(*tree_key, leaf.cast("long").alias("block"), h.alias("__x"), F.pmod(F.hash(h), F.lit(1 << 20)).cast("long").alias("__s"), (where if where is not None else F.lit(True)).alias("__in"))
     one = one.filter(F.col("__in") & F.col("block").isNotNull())
     for k in tree_key:
@@ -141,11 +148,22 @@ def due_changes(changes: DataFrame, runs: DataFrame, id_col: str = "id") -> Data
 # ---------------------------------------------------------------- a saved tree as the state
 
 
+class State(NamedTuple):
+    """What a run saves: its leaves (tree key, block, n, x, s, kept: the generation that wrote the leaf's
+    rows) and the rows of the leaves that changed (tree key, block, __row, copies)."""
+
+    leaves: DataFrame
+    rows: DataFrame
+
+
 class MerkleTracker:
     """Takes exactly the records added or changed since the last published run.
 
-    State under ``path``: ``gen=N/{output,leaves,rows}`` and ``commits/N.json``. A generation counts only
-    once its commit file exists, which is created exclusively, after all its data: output, tree and row
+    Rows of changed leaves are compared, copies counted, with the rows of the same leaves in the last
+    published run: a value that comes back, or one more copy of a row, is due; rows that go are not.
+
+    State under ``path``: ``gen=N/{output,leaves}``, ``rows/gen=N`` (all rows of the leaves that changed in
+    N, which replace the leaf's older ones) and ``commits/N.json``. A generation counts only once its commit file exists, which is created exclusively, after all its data: output, tree and row
     hashes appear together or not at all, and of two runs that race one fails with
     ``ConcurrentCommitError``.
     """
@@ -163,36 +181,51 @@ class MerkleTracker:
         return F.floor(F.col(self.range_col) / self.width).cast("long")
 
     def _hashed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("__row", F.xxhash64(*[F.col(c).cast("string") for c in sorted(df.columns)]))
+        return df.withColumn("__row", row_hash(sorted(df.columns)))
 
-    def pending(self, df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-        """(records due, leaves of the data now, generation they were compared with)."""
-        gen = self.generation()
+    def pending(self, df: DataFrame) -> tuple[DataFrame, State, int]:
+        """(records due, state that publishing them brings about, generation they were compared with)."""
+        gen, leaf = self.generation(), [*self.tree_key, "block"]
         leaves = materialize(leaf_digests(df, self.tree_key, self._leaf(), sorted(df.columns)), "tree")
         rows = self._hashed(df.dropna(subset=[*self.tree_key, self.range_col])).withColumn("block", self._leaf())
-        if gen < 0:
-            return rows.drop("block"), leaves, gen
-        saved = self.spark.read.parquet(f"{self.path}/gen={gen}/leaves")
-        height = max(tree_height(leaves), tree_height(saved))
-        changed = changed_leaves(build_levels(leaves, self.tree_key, height), build_levels(saved, self.tree_key, height), self.tree_key)
-        touched = rows.join(changed, [*self.tree_key, "block"], "left_semi")
-        old = self.spark.read.parquet(f"{self.path}/rows").filter(F.col("gen") <= gen).select("__row")
-        return touched.join(old, "__row", "left_anti").drop("block"), leaves, gen
-
-    def publish(self, due: DataFrame, leaves: DataFrame, gen: int) -> DataFrame:
-        """Publish a run's output with the tree it brings about; returns the output as published."""
+        kept = F.lit(gen + 1)
+        if gen >= 0:
+            saved = self.spark.read.parquet(f"{self.path}/gen={gen}/leaves")
+            height = max(tree_height(leaves), tree_height(saved))
+            changed = changed_leaves(build_levels(leaves, self.tree_key, height), build_levels(saved, self.tree_key, height), self.tree_key)
+            changed = materialize(changed.join(saved.select(*leaf, "kept"), leaf, "left"), "changed")
+            rows = rows.join(changed.select(*leaf), leaf, "left_semi")
+            now = changed.select(*leaf, kept.alias("kept"))
+            same = leaves.join(changed.select(*leaf), leaf, "left_anti").join(saved.select(*leaf, "kept"), leaf)
+            leaves = leaves.join(now, leaf).unionByName(same)
+        else:
+            leaves = leaves.withColumn("kept", kept)
+        # copies are counted on the map side, so a row repeated very often costs no more than others
+        counted = rows.groupBy(*leaf, "__row").agg(F.count("*").alias("copies"), F.first(F.struct(*df.columns)).alias("__record"))
+        counted = materialize(counted, "counted")
+        more = F.col("copies")
+        due = counted
+        if gen >= 0:
+            old = self.spark.read.parquet(f"{self.path}/rows").filter(F.col("gen") <= gen).withColumnRenamed("gen", "kept")
+            old = old.join(changed, [*leaf, "kept"], "left_semi").select(*leaf, "__row", F.col("copies").alias("__old"))
+            due, more = counted.join(old, [*leaf, "__row"], "left"), more - F.coalesce("__old", F.lit(0))
+        due = due.withColumn("__more", more).filter("__more > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__more").cast("int"))))
+        return due.select("__record.*", "__row"), State(leaves, counted.select(*leaf, "__row", "copies")), gen
+
+    def publish(self, due: DataFrame, state: State, gen: int) -> DataFrame:
+        """Publish a run's output with the state it brings about; returns the output as published."""
         new = gen + 1
         due.write.mode("overwrite").parquet(f"{self.path}/gen={new}/output")
         out = self.spark.read.schema(due.schema).parquet(f"{self.path}/gen={new}/output")
-        out.select("__row").write.mode("overwrite").parquet(f"{self.path}/rows/gen={new}")
-        leaves.write.mode("overwrite").parquet(f"{self.path}/gen={new}/leaves")
+        state.rows.write.mode("overwrite").parquet(f"{self.path}/rows/gen={new}")
+        state.leaves.write.mode("overwrite").parquet(f"{self.path}/gen={new}/leaves")
         self.files.create(f"{self.path}/commits/{new}.json", json.dumps({"generation": new}))
         return out.drop("__row")
 
     def run(self, df: DataFrame) -> DataFrame:
         """One run: what is due is published and returned."""
-        due, leaves, gen = self.pending(df)
-        return self.publish(due, leaves, gen)
+        due, state, gen = self.pending(df)
+        return self.publish(due, state, gen)
 
 
 DUE_SCHEMA = T.StructType([T.StructField("table_path", T.StringType()), T.StructField("id", T.IntegerType()), T.StructField("_commit_version", T.LongType())])

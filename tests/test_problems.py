@@ -164,6 +164,18 @@ def test_tracker(spark, tmp_path):
     assert rows(MerkleTracker(spark, str(tmp_path / "n"), ["t"], "n").run(one.limit(0))) == []
 
 
+def test_tracker_delivers_reverts_and_added_copies(spark, tmp_path):
+    frame = lambda data: spark.createDataFrame([("t", 5, "same", None), *data], "t string, n long, v string, w string")
+    m = MerkleTracker(spark, str(tmp_path / "m"), ["t"], "n", width=10)
+    due = lambda *data: rows(m.run(frame(data)))
+    a, b = ("t", 7, "A", None), ("t", 7, "B", None)
+    assert due(a) == [("t", 5, "same", None), a]
+    assert due(b) == [b] and due(a) == [a]  # A -> B -> A
+    assert due(a, a, a) == [a, a] and due(a) == [] and due(a, a) == [a]  # copies added, taken away, added
+    assert due() == [] and due(a, ("t", 700, "far", None)) == [a, ("t", 700, "far", None)]
+    assert due(("t", 7, None, "A")) == [("t", 7, None, "A")] and due(("t", 7, None, "A")) == []
+
+
 # ---------------------------------------------------------------- files
 
 
