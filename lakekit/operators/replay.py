@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RESET, PATCH, REMOVE = 1, 2, 3
+DELETED, SEQUENCES = "_deleted", "_sequences"
 
 
 def _kind(change_type):
@@ -24,6 +25,11 @@ def _kind(change_type):
     return F.when(t == "insert", RESET).when(t == "update_postimage", PATCH).when(t == "delete", REMOVE)
 
 
+def _rows(changes: DataFrame, keys: list[str], sequence: str, change_type: str, values: list[str]) -> DataFrame:
+    kind = _kind(F.col(change_type))
+    return changes.select(*keys, F.col(sequence).alias("__seq"), kind.alias("__kind"), *values).dropna(subset=[*keys, "__seq", "__kind"])
+
+
 def replay(changes: DataFrame, keys: list[str], sequence: str, change_type: str, values: list[str], partial: bool = False, base: DataFrame | None = None, applied: DataFrame | None = None) -> DataFrame:
     """Current records: keys, ``values`` and ``sequence`` of the change that gave the current values.
 
@@ -34,14 +40,56 @@ def replay(changes: DataFrame, keys: list[str], sequence: str, change_type: str,
     contradicting rows with equal key and sequence a delete wins, then a postimage, then the greatest
     values. ``base`` (keys, values, sequence) is an earlier state to go on from, and rows at or below a
     key's sequence in ``applied`` (keys, sequence; deleted keys included, by default ``base``) are
-    skipped as already applied. Empty input gives an empty result.
+    skipped as already applied: ``base`` holds all changes up to its sequences. Partial changes that may
+    come late are for ``replay_state``. Empty input gives an empty result.
     """
-    kind = _kind(F.col(change_type))
-    rows = changes.select(*keys, F.col(sequence).alias("__seq"), kind.alias("__kind"), *values).dropna(subset=[*keys, "__seq", "__kind"])
+    rows = _rows(changes, keys, sequence, change_type, values)
     if base is not None:
         done = (applied if applied is not None else base).groupBy(*keys).agg(F.max(sequence).alias("__done"))
         rows = rows.join(done, keys, "left").filter(F.col("__done").isNull() | (F.col("__seq") > F.col("__done"))).drop("__done")
         rows = rows.unionByName(base.select(*keys, F.col(sequence).alias("__seq"), F.lit(RESET).alias("__kind"), *values))
+    return _replayed(rows, keys, sequence, values, partial)
+
+
+def replay_state(changes: DataFrame, keys: list[str], sequence: str, change_type: str, values: list[str], state: DataFrame | None = None) -> DataFrame:
+    """Replay of partial changes that can be gone on with, whatever the order in which changes come: keys,
+    ``values``, ``sequence`` of the last change, ``_deleted`` and ``_sequences``, with a row for deleted
+    records too. ``_sequences`` holds the sequence of the last insert or delete and of each column's value,
+    so a late change still sets the columns whose value is older. ``state`` is an earlier result.
+
+    Any split of changes into batches gives the state of one replay of all of them; only of contradicting
+    rows with equal key and sequence in different batches another one may win.
+    """
+    rows = _rows(changes, keys, sequence, change_type, values)
+    if state is not None:
+        rows = rows.unionByName(_as_changes(state, keys, sequence, values))
+    # every value goes with its sequence; null (a patch without the column) stays null
+    stamped = [F.when((F.col("__kind") == RESET) | F.col(v).isNotNull(), F.struct(F.col(v).alias("value"), F.col("__seq").alias("seq"))).alias(v) for v in values]
+    alive = _replayed(rows.select(*keys, "__seq", "__kind", *stamped), keys, "__alive", values, True)
+    reset = F.max(F.when(F.col("__kind") != PATCH, F.struct("__seq", "__kind")))
+    facts = rows.groupBy(*keys).agg(F.max("__seq").alias(sequence), reset.alias("__reset"))
+    sequences = F.struct(
+        F.col("__reset.__seq").alias("reset"),
+        F.coalesce(F.col("__reset.__kind") == REMOVE, F.lit(False)).alias("removed"),
+        F.struct(*[F.col(v)["seq"].alias(v) for v in values]).alias("columns"),
+    )
+    return facts.join(alive, keys, "left").select(*keys, *[F.col(v)["value"].alias(v) for v in values], sequence, F.col("__alive").isNull().alias(DELETED), sequences.alias(SEQUENCES))
+
+
+def _as_changes(state: DataFrame, keys: list[str], sequence: str, values: list[str]) -> DataFrame:
+    """Changes whose replay gives the state: the last insert or delete, and a patch for each sequence that
+    a column's value, or the record, has beyond it."""
+    s, last = F.col(SEQUENCES), F.col(sequence)
+    with_reset = lambda v: ~s["removed"] & s["columns"][v].eqNullSafe(s["reset"])
+    kind = F.when(s["removed"], REMOVE).otherwise(RESET)
+    resets = state.filter(s["reset"].isNotNull()).select(*keys, s["reset"].alias("__seq"), kind.alias("__kind"), *[F.when(with_reset(v), F.col(v)).alias(v) for v in values])
+    at = [F.when(~with_reset(v), s["columns"][v]) for v in values] + [F.when(s["reset"].isNull() | (last > s["reset"]), last)]
+    patches = state.withColumn("__seq", F.explode(F.array_distinct(F.array_compact(F.array(*at)))))
+    patches = patches.select(*keys, "__seq", F.lit(PATCH).alias("__kind"), *[F.when(s["columns"][v] == F.col("__seq"), F.col(v)).alias(v) for v in values])
+    return resets.unionByName(patches)
+
+
+def _replayed(rows: DataFrame, keys: list[str], sequence: str, values: list[str], partial: bool) -> DataFrame:
     rows = rows.distinct()  # repeated rows go before the sort, combined on the map side
     schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("__first", rows.schema["__seq"].dataType), T.StructField("__last", rows.schema["__seq"].dataType), T.StructField("__reset", T.IntegerType()), *[rows.schema[v] for v in values], *[T.StructField(f"__has_{i}", T.BooleanType()) for i in range(len(values))]])
 
