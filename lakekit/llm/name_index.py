@@ -38,11 +38,17 @@ LOOKALIKE = {
     "ø": "o", "ł": "l", "đ": "d", "ħ": "h", "ı": "i", "ŧ": "t", "ɑ": "a", "ɡ": "g",
     "0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "|": "l",
 }
-# Titles and suffixes that are no names; single letters are initials.
+# Titles and suffixes that are no names, but for those that are names too (where two names
+# remain without them, they are none; suffixes are tried first); single letters are initials.
 ADDITIONS = (
     "mr mrs ms miss mx sir dame lord lady dr prof professor doctor rev hon fr sr jr junior senior esq phd md mba dds ii iii iv vi vii viii "
     "herr frau hr fräulein señor señora sra srta don doña mme mlle monsieur madame signor signora sig dott ing mag dipl capt captain col gen lt maj sgt"
 ).split()
+ALSO_NAMES = (("junior", "senior"), ("don", "vi", "il", "gen"))
+# Marks that may be left out (of Latin, Greek, Cyrillic; points of Hebrew and Arabic) and
+# scripts in which a character is a syllable or a word.
+MARKS = r"\u0300-\u036f\u0591-\u05bd\u05bf-\u05c7\u064b-\u0652\u0670\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f"
+SYLLABLES = r"[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]"
 
 
 def _letter_table() -> dict[str, str]:
@@ -54,19 +60,34 @@ def _letter_table() -> dict[str, str]:
             if len(base) == 1 and base.isascii() and base.isalnum() and base != c:
                 table[c] = base
     table |= LOOKALIKE
-    return {k: ("i" if v == "l" else LOOKALIKE.get(v, v).replace("l", "i")) for k, v in table.items()} | {"l": "i"}
+    return {k: LOOKALIKE.get(v, v) for k, v in table.items()}
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _without(words: Column, some: tuple[str, ...]) -> Column:
+    """The words without some, if two remain."""
+    return _let(words, lambda ws: _let(F.filter(ws, lambda w: ~w.isin(*some)), lambda rest: F.when(F.size(rest) > 1, rest).otherwise(ws)))
 
 
 def name_tokens(*fields: Column) -> Column:
-    """Words of a full name without case, marks, look-alikes, invisible characters, punctuation, titles,
-    suffixes and initials. ``i`` and ``l`` are one letter."""
+    """Words of a full name, of any script, without case, marks, look-alikes, invisible characters,
+    punctuation, titles, suffixes and initials. ``i`` and ``l`` are one letter, but not yet where titles and
+    suffixes are told from names: ``Li`` is a name, ``lI`` and ``ll`` are the suffix."""
     table = _letter_table()
-    text = F.lower(F.concat_ws(" ", *fields))
-    text = F.regexp_replace(F.translate(text, "".join(table), "".join(table.values())), r"[\p{M}\p{Cf}'’`´]", "")
-    fold = lambda w: "".join(table.get(c, c) for c in w)
-    drop = sorted({fold(w) for w in ADDITIONS})
-    words = F.split(F.regexp_replace(text, "[^a-z]+", " "), " ")
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*drop))
+    text = F.lower(F.regexp_replace(F.concat_ws(" ", *fields), r"(?<!\p{L})lI(?!\p{L})", "II"))
+    text = F.regexp_replace(F.translate(text, "".join(table), "".join(table.values())), rf"[{MARKS}\p{{Cf}}'’`´]", "")
+    one = lambda w: w.replace("l", "i")
+    drop = sorted({one("".join(table.get(c, c) for c in w)) for w in ADDITIONS})
+    kept = ["li", *(w for some in ALSO_NAMES for w in some)]
+    words = F.split(F.regexp_replace(text, r"[^\p{L}\p{M}]+", " "), " ")
+    words = F.filter(words, lambda w: ((F.length(w) > 1) | w.rlike(SYLLABLES)) & (~F.translate(w, "l", "i").isin(*drop) | w.isin(*kept)))
+    for some in ALSO_NAMES:
+        words = _without(words, some)
+    return F.transform(words, lambda w: F.translate(w, "l", "i"))
 
 
 def rotations(words: Column) -> Column:
@@ -99,10 +120,11 @@ def _one_slip(a: Column, b: Column) -> Column:
 
 
 def same_name(form_a: Column, form_b: Column) -> Column:
-    """At most one slip between the full names, the words of either taken in any rotation (a blank may
+    """At most one slip (none in scripts of syllables) between the full names, the words of either taken in any rotation (a blank may
     stand anywhere, so the words of the two need not match one to one)."""
     ends = rotations(F.split(form_b, " "))
-    return F.exists(rotations(F.split(form_a, " ")), lambda a: F.exists(ends, lambda b: _one_slip(a, b)))
+    slip = lambda a, b: F.when(a.rlike(SYLLABLES) | b.rlike(SYLLABLES), a == b).otherwise(_one_slip(a, b))
+    return F.exists(rotations(F.split(form_a, " ")), lambda a: F.exists(ends, lambda b: slip(a, b)))
 
 
 class NameIndex:

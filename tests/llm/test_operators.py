@@ -55,6 +55,16 @@ def test_names(spark):
     assert rows(name_index.dedup_batches(history.limit(0), batches)) == [(10, 11), (12, 13), (12, 14), (17, 18), (17, 19), (17, 22)]
 
 
+def test_names_like_suffixes_and_of_other_scripts(spark):
+    data = [
+        (1, "Wei", "Li", 0), (2, "Li", "Wei", 1), (3, "Don", "Smith", 0), (4, "Don", "Smith Junior", 1), (5, "Vi", "Nguyen", 0), (6, "Nguyen", "Vi", 1), (7, "Peter", "Pan", 0), (8, "Peter", "Pan lI", 1), (9, "Don Peter", "Pan III", 1),
+        (10, "Иван", "Жуков", 0), (11, "Жукав", "Иван", 1), (12, "伟", "李", 0), (13, "李", "伟", 1), (14, "明", "李", 1), (15, "राम", "शर्मा", 0), (16, "शर्मा", "राम", 1), (17, "Dr.", "Madonna", 0), (18, "Dr", "Madonna", 1),
+    ]
+    df = spark.createDataFrame(data, "id int, firstname string, lastname string, batch_no int")
+    got = rows(name_index.dedup_batches(df.filter("batch_no = 0"), df.filter("batch_no = 1")))
+    assert sorted(got) == [(1, 2), (3, 4), (5, 6), (7, 8), (7, 9), (10, 11), (12, 13), (15, 16)]
+
+
 def test_reopened_index_and_repeated_append(spark, tmp_path):
     batch = spark.createDataFrame([(7, "Ana", "Smith")], "id int, firstname string, lastname string")
     first = name_index.NameIndex(spark, str(tmp_path / "i"))
