@@ -150,6 +150,14 @@ def test_sentences_of_spaceless_scripts():
     assert len(cut("เขาขายโกนะ เธอวาดโลครับ")) == 2
 
 
+def test_thai_sentences_by_words():
+    assert cut("เขาชนะ ทุกคนนะ เธอวาดโลครับ") == ["เขาชนะ ทุกคนนะ", "เธอวาดโลครับ"]  # ends in letters of a particle
+    assert cut("เขาถือเชนะ เธอวาดโลครับ") == ["เขาถือเชนะ", "เธอวาดโลครับ"]
+    assert cut("เขาขายโก? เธอวาดโล! ฉันถือโก") == ["เขาขายโก?", "เธอวาดโล!", "ฉันถือโก"]
+    cues = "1\n00:00:01,000 --> 00:00:02,000\nเขาขายโก\n\n2\n00:00:03,000 --> 00:00:04,000\nเธอวาด\n\n3\n00:00:05,000 --> 00:00:06,000\nโลครับ\n"
+    assert [c.split()[-1] for c in cut(cues)] == ["เขาขายโก", "โลครับ"]
+
+
 def test_positions_survive_wrong_encodings():
     plain = "1\n00:00:01,000 --> 00:00:02,000\nElla olvidó “nada”. ¿Usted vio?\n"
     wrong = "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in plain.encode())
