@@ -57,6 +57,9 @@ def fold_word(w: str) -> str:
     return w.translate(_FOLD).replace("rn", "m").replace("vv", "w").replace("ii", "ii")
 
 
+_ONLY_CJK, _ONLY_THAI = re.compile("[\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]"), re.compile("[\u0e00-\u0e7f]")
+
+
 class Units:
     """Cuts spoken text into units; folded words are remembered."""
 
@@ -64,6 +67,23 @@ class Units:
         self.seen: dict[str, str] = {}
         self.limit = limit
 
+    def sections(self, text: str) -> list[tuple[str, list[str]]]:
+        """Units of every script of a text: those of its main script, and of a text of several scripts also
+        what the others leave when they are taken out, so that lines between don't part a passage."""
+        main = self(text)
+        low = text.lower()
+        if low.isascii() or not (_CJK.search(low) or _THAI.search(low)):
+            return [main]
+        flat, out = list(_NUMBER.sub("", _PUNCT.sub("", low)).translate(_FOLD)), [main]
+        for kind, own in (("char", _ONLY_CJK), ("thai", _ONLY_THAI)):
+            only = [c for c in flat if own.match(c)]
+            if len(only) >= WINDOW[kind][0] and kind != main[0]:
+                out += [(kind, flat), (kind, only)] if len(only) < len(flat) else [(kind, only)]
+        plain = [t for t in low.split() if not (_CJK.search(t) or _THAI.search(t))]
+        if len(plain) >= WINDOW["word"][0]:
+            out.append(self(" ".join(plain)))
+        return out
+
     def __call__(self, text: str) -> tuple[str, list[str]]:
         low = text.lower()
         if not low.isascii():
@@ -102,27 +122,29 @@ def shingle_rows(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict |
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if i is None or not text:
                     continue
-                kind, units = cut(spoken(repair(text)[0]) if clean else text)
-                k = WINDOW[kind][1]
-                if len(units) < WINDOW[kind][0]:
-                    continue
-                if known is None:
-                    found = [(_ident(kind, units, p, k), p) for p in range(len(units) - k + 1)]
-                elif kind == "word":
-                    words, table = known[kind]
-                    found, run = [], 0
-                    for p, w in enumerate(units):
-                        run = run + 1 if w in words else 0
-                        if run >= k and (s := table.get(" ".join(units[p - k + 1 : p + 1]))) is not None:
-                            found.append((s, p - k + 1))
-                else:
-                    table, flat = known[kind][1], "".join(units)
-                    found = [(s, p) for p in range(len(flat) - k + 1) if (s := table.get(flat[p : p + k])) is not None]
-                if found:
-                    ids += [i] * len(found)
-                    kinds += [kind] * len(found)
-                    sids += [s for s, _ in found]
-                    poss += [p for _, p in found]
+                base = 0
+                for kind, units in cut.sections(spoken(repair(text)[0]) if clean else text):
+                    k = WINDOW[kind][1]
+                    if len(units) < WINDOW[kind][0]:
+                        continue
+                    if known is None:
+                        found = [(_ident(kind, units, p, k), p) for p in range(len(units) - k + 1)]
+                    elif kind == "word":
+                        words, table = known[kind]
+                        found, run = [], 0
+                        for p, w in enumerate(units):
+                            run = run + 1 if w in words else 0
+                            if run >= k and (s := table.get(" ".join(units[p - k + 1 : p + 1]))) is not None:
+                                found.append((s, p - k + 1))
+                    else:
+                        table, flat = known[kind][1], "".join(units)
+                        found = [(s, p) for p in range(len(flat) - k + 1) if (s := table.get(flat[p : p + k])) is not None]
+                    if found:
+                        ids += [i] * len(found)
+                        kinds += [kind] * len(found)
+                        sids += [s for s, _ in found]
+                        poss += [base + p for _, p in found]
+                    base += len(units) + 1  # windows never reach from one section into the next
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((ids, kinds, sids, poss), arrow, strict=True)], schema=arrow)
 
@@ -136,12 +158,12 @@ def _vocabulary(items: DataFrame, id_col: str, text_col: str) -> dict | None:
         return None
     cut, known = Units(), {kind: (set(), {}) for kind in WINDOW}
     for (text,) in items.select(text_col).filter(F.col(text_col).isNotNull()).toLocalIterator():
-        kind, units = cut(text)
-        words, table = known[kind]
-        k = WINDOW[kind][1]
-        words.update(units)
-        for p in range(len(units) - k + 1):
-            table[("" if kind != "word" else " ").join(units[p : p + k])] = _ident(kind, units, p, k)
+        for kind, units in cut.sections(text):
+            words, table = known[kind]
+            k = WINDOW[kind][1]
+            words.update(units)
+            for p in range(len(units) - k + 1):
+                table[("" if kind != "word" else " ").join(units[p : p + k])] = _ident(kind, units, p, k)
     return known
 
 

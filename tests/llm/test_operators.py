@@ -209,6 +209,17 @@ def test_leaks(spark, monkeypatch, limit):
     assert rows(leaks.leaks(docs.limit(0), items)) == [] and rows(leaks.leaks(docs, items.limit(0))) == []
 
 
+def test_leaks_of_bilingual_texts(spark):
+    zh = "他藏起了一只风川木竹因为没有人在地下室里带着每一座谷川星风川木竹梅灯桥木在港口附近"
+    words = [f"{a}{b}" for a in ("lantern", "harbour", "mirror", "bridge", "stone") for b in ("ed", "ing", "er", "less", "ful")]
+    line = lambda i: " ".join(words[4 * i : 4 * i + 4])
+    mostly_en = "".join(f"1\n00:00:0{i},000 --> 00:00:0{i},900\n{line(i)}\n{zh[9 * i : 9 * i + 9]}\n\n" for i in range(4))
+    mostly_zh = "1\n00:00:01,000 --> 00:00:02,000\n" + zh * 9 + "\n" + " ".join(words[:16]) + "\n"
+    docs = spark.createDataFrame([(1, mostly_en), (2, mostly_zh), (3, mostly_en.replace("木", "水"))], "doc_id long, text string")
+    items = spark.createDataFrame([(70, zh), (71, " ".join(words))], "item_id int, text string")
+    assert rows(leaks.leaks(docs, items)) == [(1, 70), (1, 71), (2, 70), (2, 71), (3, 71)]
+
+
 # ---------------------------------------------------------------- mixing
 
 
