@@ -111,13 +111,26 @@ def repair(text: str) -> tuple[str, Positions | Chain | None]:
 # ---------------------------------------------------------------- what is not speech
 
 _TIMES = re.compile(r"^(?:\ufeff?[ \t]*-?\d+[ \t]*\r?\n)?\ufeff?[ \t]*\d{1,3}:\d\d:\d\d[.,]\d+[ \t]*-{1,2}>[^\n]*|^\ufeff?WEBVTT[^\n]*", re.M)
-_NOISE = re.compile(r"\{[^{}\n]{0,40}\}|<[^<>]{0,80}>|\[[^\[\]]{0,80}\]|\([^()]{0,80}\)|（[^（）]{0,80}）|【[^【】]{0,80}】|\*\*[^\n]{0,80}\*\*|\*[^*\n]{0,80}\*|♪[^♪\n]{0,80}♪|♪|��|� [^�\n.!?…]{1,60} �|\ufeff")
-# Signs of an advert or credit in its line; most adverts have several, should one be misread.
-AD_SIGNS = (
-    ".example", "d o t e", "_subs", "ads@", "casino now", "code: sub", "release group", "www.", "-subs.", "subtitles by", " team", "captioning", "sponsored by", "translated by", "re-upload", "ripped &", "encoded by",
-    "sync and", "corrections by", "rate this", "id=", "help others", "support us", "vip member", "advertise", "product here", "for more", "downloaded", "free forever", "untertitel von", "subtítulos", "síguenos",
-    "sous-titres", "перевод:", "студия", "उपशीर्षक:", "ترجمة:", "แปลโดย", "字幕：", "字幕:", "字幕组", "字幕組", "扫码加入", "t.me/",
-)
+# Noise ends within its cue or line, however long it is.
+_NOISE = re.compile(
+    r"\{[^{}\n\x1e]*\}|<[^<>\x1e]*>|\[[^\[\]\x1e]*\]|\([^()\x1e]*\)|（[^（）\x1e]*）|【[^【】\x1e]*】|\*\*[^\n\x1e]*?\*\*|\*[^*\n\x1e]*\*|♪[^♪\n\x1e]*♪|♪|��|� [^�\n\x1e.!?…]+ �|﻿"
+)
+# Adverts and credits are told by their line as a whole: an address makes up most of it; an address, a
+# coupon or the like stands with words of promotion; or it has the form of a credit, a word of credit with a
+# colon or "by" and a name. No single word is a sign.
+_ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]*@[\w-]{2,}(?:\.\w+)*|(?<![\w.])(?:[\w-]+\.)+(?:example|com|net|org|info|tv|io|me|co|cc|to|xyz|online|club|ru|de|fr|es|in|cn|jp)\b(?:/\S*)?|\b\w+ (?:d o t|dot) \w{2,}|\bcode ?: ?\w+|\b\w+-(?:subs|crew)\b", re.I)
+# Words of credit, words that join a name to them, words of promotion.
+_CREDIT_WORD = (
+    r"sub(?:title|bing|titled)?s?|caption(?:s|ed|ing)?|translat(?:ed|ion)|sync(?:ed|hronized)?|correct(?:ed|ions?)|encoded|ripped|transcri(?:bed|ption)|timing|untertitel|übersetzung|subtítulos|traducción|sous-titres|traduction|субтитры|перевод|उपशीर्षक|अनुवाद|"
+    r"ترجمة|แปล|คำบรรยาย|字幕组?|字幕組"
+)
+_CREDIT = re.compile(rf"[\W_]*(?:{_CREDIT_WORD})(?: ?(?:&|and|y|et|und|и) (?:{_CREDIT_WORD}))?(?P<by> ?[:：]|(?: sponsored| provided)? (?:by|von|por|par|pour|от)\b|โดย|(?<=组)|(?<=組))(?P<name>.*)", re.I)
+_PROMOTION = re.compile(
+    r"\bvisit\b|for more|\bcasino\b|\bdownload|\bfree\b|\bvip\b|\brate this\b|support us|advertise|corrections|\bsync\b|re-?upload|sponsored|\bencoded\b|\bripped\b|release group|subscribe|follow us|síguenos|abonnez|подпис|扫码|加入|出品|関注|チャンネル登録|ติดตาม|اشترك|सब्सक्राइब", re.I
+)
+# Lines without one of these are no adverts, so they need no closer look.
+_SIGNS = ("@", "www.", "http", "d o t", " dot ", "-subs", "-crew", "code", "subti", "subbi", "subs", "capti", "transl", "sync", "correct", "encod", "ripp", "transcri", "timing", "untert", "überset", "subtít", "traduc", "sous-t", "субт", "перевод", "उपशीर्षक", "अनुवाद", "ترجمة", "แปล", "คำบรรยาย", "字幕")
+_DOTTED = re.compile(r"(?<=\w)\.(?=[a-z]{2})")
 _QUOTE = "\"“”„«»‘’‚‹›「」『』"
 _NAME = re.compile(r"(?:^|[\s\x1e])((?:>> ?)?[^\s:：.!?…,;，。！？、؟।\"“”„«»‘‚‹›「」『』\x1e\x02]{2,40}[\u00a0\u202f ]?)\Z")
 _DASH = re.compile(r"[\n\x1e] *(?:(?:-|–|—|>>) ?)+")
@@ -155,20 +168,37 @@ def _without_names(s: str) -> str:
     return "".join(out) + s[at:] if at else s
 
 
+def _is_advert(line: str) -> bool:
+    found = [m[0] for m in _ADDRESS.finditer(line)]
+    if found and 5 * len("".join(found)) > 3 * len(line):
+        return True
+    if found and _PROMOTION.search(line):
+        return True
+    m = _CREDIT.match(line)
+    if m is None:
+        return False
+    # what is credited is a name, at once after "by", somewhere after a colon; in scripts without case any words
+    words = m["name"].split()
+    named = any(not w[:1].islower() for w in words) if m["by"].strip() in (":", "：") else words and not words[0][:1].islower()
+    return bool(named) and len(words) <= 8
+
+
 def _without_adverts(s: str) -> str:
-    folded = s.lower()
-    if len(folded) != len(s):
-        return s
-    spans = []
-    for key in AD_SIGNS:
-        p = folded.find(key)
+    low = s.lower()
+    if len(low) != len(s):
+        low = s
+    spans = set()
+    for sign in _SIGNS:
+        p = low.find(sign)
         while p >= 0:
-            start, end = max(s.rfind("\n", 0, p), s.rfind(CUE, 0, p)) + 1, s.find("\n", p)
-            end = len(s) if end < 0 else end
-            spans.append((start, end))
-            p = folded.find(key, end)
-    for start, end in spans:
-        s = s[:start] + " " * (end - start) + s[end:]
+            a, b = max(s.rfind("\n", 0, p), s.rfind(CUE, 0, p)) + 1, s.find("\n", p)
+            spans.add((a, len(s) if b < 0 else b))
+            p = low.find(sign, len(s) if b < 0 else b)
+    if "." in low:
+        spans |= {(max(s.rfind("\n", 0, m.start()), s.rfind(CUE, 0, m.start())) + 1, b if (b := s.find("\n", m.end())) >= 0 else len(s)) for m in _DOTTED.finditer(low)}
+    for a, b in spans:
+        if _is_advert(s[a:b].strip()):
+            s = s[:a] + " " * (b - a) + s[b:]
     return s
 
 
@@ -193,7 +223,7 @@ def _shown_again(s: str) -> str:
         now = [x for x in now if x]
         k = 0
         if before and now:
-            for n in range(min(3, len(before), len(now)), 0, -1):
+            for n in range(min(len(before), len(now)), 0, -1):
                 if now[:n] == before[-n:]:
                     k = n
                     break
