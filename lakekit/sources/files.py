@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
@@ -90,3 +91,11 @@ class FileStore:
             return
         fs, p = self._fs(path)
         fs.delete(p, False)
+
+    def delete_folder(self, path: str) -> None:
+        """Delete a folder and all below it, if it is there."""
+        if (p := local_path(path)) is not None:
+            shutil.rmtree(p, ignore_errors=True)
+            return
+        fs, p = self._fs(path)
+        fs.delete(p, True)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakekit.common import hot_slices, salted_join
 from lakekit.errors import ConcurrentCommitError
+from lakekit.operators import merkle
 from lakekit.operators.compaction import bin_report, plan_bins, small_files
 from lakekit.operators.history import islands, statements
 from lakekit.operators.live_files import live_files
@@ -152,18 +153,43 @@ def test_due_changes_against_brute_force(spark):
 def test_tracker(spark, tmp_path):
     one = spark.createDataFrame([("t", i, f"v{i}") for i in range(100)] + [("t", None, "lost"), (None, 1, "lost")], "t string, n long, v string")
     m = MerkleTracker(spark, str(tmp_path / "m"), ["t"], "n", width=10)
-    due, leaves, gen = m.pending(one)
-    assert due.count() == 100 and gen == -1  # a run that fails here has taken nothing
+    p = m.pending(one)
+    assert p.due.count() == 100 and p.generation == -1  # a run that fails here has taken nothing
     assert m.run(one).count() == 100 and m.run(one).count() == 0
     two = one.filter("n is null or n <> 7").union(spark.createDataFrame([("t", 7, "changed"), ("t", 500, "new"), ("u", 1, "new")], one.schema))
-    late = m.pending(two)
-    assert rows(m.run(two)) == [("t", 500, "new"), ("t", 7, "changed"), ("u", 1, "new")]
+    late = m.pending(one.filter("n < 50"))
+    want = [("t", 500, "new"), ("t", 7, "changed"), ("u", 1, "new")]
+    assert rows(m.run(two)) == want
     with pytest.raises(ConcurrentCommitError):
-        m.publish(*late)  # another run was first
+        m.publish(late)  # another run was first
+    assert rows(m.output(2)) == want and m.removed(2).count() == 1  # and what it published is as it was
     assert m.run(two).count() == 0 and m.generation() == 3
     assert rows(MerkleTracker(spark, str(tmp_path / "n"), ["t"], "n").run(one.limit(0))) == []
 
 
+def test_tracker_survives_a_crash_while_publishing(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("t", i) for i in range(40)], "t string, n long")
+    m = MerkleTracker(spark, str(tmp_path / "m"), ["t"], "n", width=4)
+    m.run(df.filter("n < 20"))
+
+    def fail(*_):
+        raise OSError("gone")
+
+    monkeypatch.setattr(m.files, "create", fail)
+    with pytest.raises(OSError):
+        m.run(df)
+    monkeypatch.undo()
+    assert m.generation() == 0 and sorted(r[1] for r in rows(m.run(df))) == list(range(20, 40))
+
+
+def test_tracker_merges_folders_and_reports_what_went(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(merkle, "MERGE_AFTER", 2)
+    frame = lambda some: spark.createDataFrame([("t", i) for i in some], "t string, n long")
+    m = MerkleTracker(spark, str(tmp_path / "m"), ["t"], "n", width=4, copies=False)
+    assert [len(rows(m.run(frame(x)))) for x in (range(20), range(24), [*range(28), 27], range(10))] == [20, 4, 4, 0]
+    assert [m.removed(g).count() for g in (2, 3)] == [0, 18]
+
+
 def test_tracker_delivers_reverts_and_added_copies(spark, tmp_path):
     frame = lambda data: spark.createDataFrame([("t", 5, "same", None), *data], "t string, n long, v string, w string")
     m = MerkleTracker(spark, str(tmp_path / "m"), ["t"], "n", width=10)
@@ -171,9 +197,9 @@ def test_tracker_delivers_reverts_and_added_copies(spark, tmp_path):
     a, b = ("t", 7, "A", None), ("t", 7, "B", None)
     assert due(a) == [("t", 5, "same", None), a]
     assert due(b) == [b] and due(a) == [a]  # A -> B -> A
-    assert due(a, a, a) == [a, a] and due(a) == [] and due(a, a) == [a]  # copies added, taken away, added
-    assert due() == [] and due(a, ("t", 700, "far", None)) == [a, ("t", 700, "far", None)]
-    assert due(("t", 7, None, "A")) == [("t", 7, None, "A")] and due(("t", 7, None, "A")) == []
+    assert due(a, a, a) == [a, a] and due() == []  # copies added, all taken away
+    assert due(("t", 7, None, "A"), ("t", 700, "far", None)) == [("t", 7, None, "A"), ("t", 700, "far", None)]
+    assert due(a) == [a]  # a value that moves to another column
 
 
 # ---------------------------------------------------------------- files
