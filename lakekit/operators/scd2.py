@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import materialize, salted_join
 from ..errors import MultipleMatchError, ValidationError
+from ..storage.table import FILE, ROW, LakeTable, merge_metrics
 
 
 def check_columns(base: list[str], updates: list[str], key: str, attrs: list[str], current: str, effective: str, end: str) -> None:
@@ -18,6 +19,25 @@ def check_columns(base: list[str], updates: list[str], key: str, attrs: list[str
         raise ValidationError(f"The updates DataFrame has these columns '{updates}', but these columns are required '{required}'")
 
 
+def _parts(base: DataFrame, updates: DataFrame, key: str, attrs: list[str], current: str, effective: str, end: str, columns: list[str]) -> tuple[DataFrame, dict[str, Column], DataFrame]:
+    """(base rows with their update ``__u`` and whether it closes them, the values of a closed row, the rows
+    of newly opened versions)."""
+    check_columns(columns, updates.columns, key, attrs, current, effective, end)
+    k = F.col(f"`{key}`")
+    if not updates.filter(k.isNotNull()).groupBy(k).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise MultipleMatchError(f"more than one update for the same {key}")
+    named = updates.select(k, F.struct(*[F.col(f"`{a}`").alias(f"a{i}") for i, a in enumerate(attrs)], F.col(f"`{effective}`").alias("at")).alias("__u"))
+    differs = F.lit(False)
+    for i, a in enumerate(attrs):
+        differs = differs | (F.col("__u")[f"a{i}"] != F.col(f"`{a}`"))
+    joined = salted_join(base, named, [key], [F.col(f"`{effective}`"), F.col(f"`{end}`")], "left").withColumn("__changed", F.coalesce(F.col(f"`{current}`") & differs, F.lit(False)))
+    closed = {c: F.col(f"`{c}`") for c in columns} | {current: F.lit(False), end: F.col("__u.at").cast(base.schema[end].dataType)}
+    value = {current: F.lit(True), effective: F.col("__u.at"), end: F.lit(None), key: k} | {a: F.col("__u")[f"a{i}"] for i, a in enumerate(attrs)}
+    row = [value[c].cast(base.schema[c].dataType).alias(c) for c in columns]
+    unknown = named.join(base.select(k).distinct(), key, "left_anti")
+    return joined, closed, joined.filter("__changed").select(*row).unionByName(unknown.select(*row))
+
+
 def scd2_upsert(base: DataFrame, updates: DataFrame, key: str, attrs: list[str], current: str = "is_current", effective: str = "effective_time", end: str = "end_time") -> DataFrame:
     """The table after the upsert.
 
@@ -27,49 +47,18 @@ def scd2_upsert(base: DataFrame, updates: DataFrame, key: str, attrs: list[str],
     keys, and every update without key, open a version. Validity columns may be of any orderable type.
     More than one update of a key raises ``MultipleMatchError``. Base rows of a hot key spread over tasks.
     """
-    check_columns(base.columns, updates.columns, key, attrs, current, effective, end)
-    k = f"`{key}`"
-    if not updates.filter(F.col(k).isNotNull()).groupBy(F.col(k)).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        raise MultipleMatchError(f"more than one update for the same {key}")
-    named = updates.select(F.col(k), F.struct(*[F.col(f"`{a}`").alias(f"a{i}") for i, a in enumerate(attrs)], F.col(f"`{effective}`").alias("at")).alias("__u"))
-    differs = F.lit(False)
-    for i, a in enumerate(attrs):
-        differs = differs | (F.col("__u")[f"a{i}"] != F.col(f"`{a}`"))
-    joined = salted_join(base, named, [key], [F.col(f"`{effective}`"), F.col(f"`{end}`")], "left").withColumn("__changed", F.coalesce(F.col(f"`{current}`") & differs, F.lit(False)))
-    columns = base.columns
-    kept = joined.select(*[
-        (F.when(F.col("__changed"), F.lit(False)).otherwise(F.col(f"`{c}`")) if c == current
-         else F.when(F.col("__changed"), F.col("__u.at").cast(base.schema[end].dataType)).otherwise(F.col(f"`{c}`")) if c == end
-         else F.col(f"`{c}`")).alias(c)
-        for c in columns
-    ])
-
-    def opened(rows: DataFrame) -> DataFrame:
-        value = {current: F.lit(True), effective: F.col("__u.at"), end: F.lit(None), key: F.col(k)} | {a: F.col("__u")[f"a{i}"] for i, a in enumerate(attrs)}
-        return rows.select(*[value[c].cast(base.schema[c].dataType).alias(c) for c in columns])
+    joined, closed, opened = _parts(base, updates, key, attrs, current, effective, end, base.columns)
+    kept = joined.select(*[F.when(F.col("__changed"), v).otherwise(F.col(f"`{c}`")).alias(c) for c, v in closed.items()])
+    return kept.unionByName(opened)
 
-    fresh = named.join(base.select(F.col(k)).distinct(), key, "left_anti")
-    return kept.unionByName(opened(joined.filter("__changed"))).unionByName(opened(fresh))
 
-
-def upsert_table(table, updates: DataFrame, key: str, attrs: list[str], current: str = "is_current", effective: str = "effective_time", end: str = "end_time") -> int:
-    """The same as one commit of a table: only files with a version to close are written again."""
-    base = table.to_df()
-    check_columns(base.columns, updates.columns, key, attrs, current, effective, end)
+def upsert_table(table: LakeTable, updates: DataFrame, key: str, attrs: list[str], current: str = "is_current", effective: str = "effective_time", end: str = "end_time") -> int:
+    """The same as one commit of a table: versions to close are marked by file and row, so only their files
+    are written again, next to a file of the opened versions."""
+    version, schema = table.version(), table.schema
     updates = materialize(updates, "scd-updates")
-    if not updates.filter(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`")).count().filter("count > 1").isEmpty():
-        raise MultipleMatchError(f"more than one update for the same {key}")
-    renamed = updates.select(F.col(f"`{key}`"), *[F.col(f"`{a}`").alias(f"__u{i}") for i, a in enumerate(attrs)], F.col(f"`{effective}`").alias("__at"))
-    differs = F.lit(False)
-    for i, a in enumerate(attrs):
-        differs = differs | (F.col(f"__u{i}") != F.col(f"`{a}`"))
-    changed = base.join(renamed, key).filter(F.col(f"`{current}`") & differs).select(F.col(f"`{key}`"), *[F.col(f"__u{i}").alias(a) for i, a in enumerate(attrs)], F.col("__at").alias(effective))
-    staged = changed.select(F.lit(None).cast(updates.schema[key].dataType).alias("__merge_key"), *updates.columns).unionByName(updates.select(F.col(f"`{key}`").alias("__merge_key"), *updates.columns))
-    same = " OR ".join(f"base.`{a}` <> staged.`{a}`" for a in attrs) or "false"
-    values = {key: f"staged.`{key}`", current: "true", effective: f"staged.`{effective}`", end: "null"} | {a: f"staged.`{a}`" for a in attrs}
-    return (
-        table.merge(staged, f"base.`{key}` = staged.__merge_key", "staged", "base")
-        .when_matched_update({current: "false", end: f"staged.`{effective}`"}, f"base.`{current}` AND ({same})")
-        .when_not_matched_insert(values)
-        .execute()
-    )
+    joined, closed, opened = _parts(table.to_df(version, identity=True), updates, key, attrs, current, effective, end, schema.names)
+    new = F.struct(*[v.alias(c) for c, v in closed.items()])
+    marks = materialize(joined.filter("__changed").select(FILE, ROW, F.lit("update").alias("__action"), new.alias("__new")), "scd-closed")
+    opened = materialize(opened, "scd-opened")
+    return table.rewrite("MERGE", marks, merge_metrics, {"predicate": f"type-2 upsert by {key}"}, None if opened.isEmpty() else opened, version, updates.count())
