@@ -109,9 +109,8 @@ def remove_duplicate_records(table: LakeTable, columns: list[str], primary_key:
     overwritten)."""
     version = table.version()
     if primary_key is None:
-        df = table.to_df(version)
-        LakeTable.write(dedupe.drop_duplicates(df, columns), table.path, mode="overwrite")
-        return table.version()
+        LakeTable.write(dedupe.drop_duplicates(table.to_df(version), columns), table.path, mode="overwrite", read_version=version)
+        return version + 1
     require_columns([primary_key] if primary_key else [], "the input parameter primaryKey must not be empty")
     require_columns(columns)
     df = table.to_df(version, identity=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,13 +18,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share. A cluster names it in ``spark.checkpoint.dir``; only where
-    that is unset (tests, one machine) is a temporary folder made and set."""
+    that is unset and all tasks run on this machine (tests) is a temporary folder made and set; it goes when
+    Python ends."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakekit-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lakekit-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 

@@ -8,13 +8,15 @@ from pyspark.sql import types as T
 
 from ..constants import NUM_RECORDS_COLUMNS, PERCENTAGES, SIZE_COLUMNS
 
+ACCURACY = 2**31 - 1  # the greatest that percentile_approx takes
+
 
 def distribution(files: DataFrame, value: str, names: list[str]) -> DataFrame:
     """Per partition: number of values, mean, sample deviation (null for one value), minimum, maximum and
     percentiles. Aggregated on the map side; nulls don't count."""
     c = F.col(value)
-    # the sketch's accuracy bounds its error by rank (1 in 100000 of a partition's files)
-    out = files.groupBy(F.map_entries("partitionValues").alias("p")).agg(F.count(c), F.mean(c), F.stddev(c), F.min(c), F.max(c), F.percentile_approx(c, PERCENTAGES, 100_000))
+    # the sketch keeps as many values as it may: exact for any partition with fewer files than that
+    out = files.groupBy(F.map_entries("partitionValues").alias("p")).agg(F.count(c), F.mean(c), F.stddev(c), F.min(c), F.max(c), F.percentile_approx(c, PERCENTAGES, ACCURACY))
     return out.toDF(*names)
 
 
@@ -41,6 +43,7 @@ def in_partitions(files: DataFrame, partition_columns: list[str], schema: T.Stru
     """Files whose partition fits a condition on partition columns, evaluated on typed values."""
     if not condition:
         return files
-    typed = {f"{p}": F.col("partitionValues")[p].cast(schema[p].dataType) for p in partition_columns}
-    clash = [c for c in files.columns if c in typed]
-    return files.select(F.struct(*files.columns).alias("__f"), *[v.alias(k) for k, v in typed.items()]).filter(condition).select("__f.*") if not clash else files.withColumns(typed).filter(condition)
+    # the condition sees the partition's columns only, whatever the columns of files are called
+    typed = [F.col("__f.partitionValues")[p].cast(schema[p].dataType).alias(p) for p in partition_columns]
+    held = files.select(F.struct(*files.columns).alias("__f"))
+    return held.select("__f", *typed).filter(condition).select("__f.*")

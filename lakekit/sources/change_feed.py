@@ -55,7 +55,7 @@ def read_changes(spark: SparkSession, path: str, start: int, end: int) -> DataFr
             data = data.withColumn("_change_type", F.lit("insert" if kind == "add" else "delete"))
         index = spark.createDataFrame([(r["path"], r["version"], r["ts"]) for r in some], "path string, version long, ts long")
         stem = F.element_at(F.split("path", "/"), -1)
-        index = index.select(stem.alias("__name"), F.col("version").alias("_commit_version"), F.timestamp_millis("ts").alias("_commit_timestamp"))
+        index = index.select(stem.alias("__name"), F.col("version").alias("_commit_version"), F.timestamp_millis("ts").alias("_commit_timestamp")).distinct()  # files of one write share a name in each partition
         named = data.withColumn("__name", F.element_at(F.split("__file", "/"), -1))
         out.append(named.join(index, "__name").select(*schema.names, *[n for n, _ in FEED]))
     if not out:

@@ -117,11 +117,11 @@ class Log:
         """Schema, partition columns and properties at a version."""
         version = self.latest() if version is None else version
         self.check_version(version)
-        found = self.actions(0, version).filter(F.col("metaData").isNotNull()).orderBy(F.desc("version")).select("metaData").limit(1).collect()
-        if found:
-            meta = found[0][0].asDict(recursive=True)
+        base = self._state_base(version)
+        found = self.actions(base + 1, version).filter(F.col("metaData").isNotNull()).agg(F.max_by("metaData", "version")).first()[0]
+        if found is not None:
+            meta = found.asDict(recursive=True)
         else:
-            base = self._state_base(version)
             meta = json.loads(self.files.read_text(f"{self.dir}/{base:020d}.checkpoint.parquet/metadata.json"))
         return meta | {"configuration": meta.get("configuration") or {}, "partitionColumns": meta.get("partitionColumns") or []}
 

@@ -12,7 +12,7 @@ import time
 import uuid
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,8 +74,10 @@ class LakeTable:
         return table
 
     @classmethod
-    def write(cls, df: DataFrame, path: str | None = None, mode: str = "error", partition_by: list[str] | None = None, properties: dict | None = None, name: str | None = None, merge_schema: bool = False, max_records: int = 0) -> LakeTable:
-        """Save a DataFrame. ``mode``: error (a table must not exist), append, overwrite."""
+    def write(cls, df: DataFrame, path: str | None = None, mode: str = "error", partition_by: list[str] | None = None, properties: dict | None = None, name: str | None = None, merge_schema: bool = False, max_records: int = 0, read_version: int | None = None) -> LakeTable:
+        """Save a DataFrame. ``mode``: error (a table must not exist), append, overwrite. A DataFrame that was
+        made from the table at ``read_version`` overwrites that version only: if there is a later one, the
+        write fails with ``ConcurrentCommitError`` and nothing has changed."""
         if mode not in ("error", "append", "overwrite"):
             raise ValidationError(f"unknown mode {mode}")
         spark = df.sparkSession
@@ -90,7 +92,7 @@ class LakeTable:
             return table
         if mode == "error":
             raise TableExistsError(f"There is a table at {table.path}")
-        table._save(df, mode, merge_schema, max_records)
+        table._save(df, mode, merge_schema, max_records, read_version)
         return table
 
     def _metadata(self, schema: T.StructType, partition_by: list[str], properties: dict) -> dict:
@@ -99,9 +101,11 @@ class LakeTable:
             raise ValidationError(f"partition columns {unknown} are not in {schema.names}")
         return {"metaData": {"id": str(uuid.uuid4()), "schemaString": schema.json(), "partitionColumns": partition_by, "configuration": {k: str(v) for k, v in properties.items()}, "createdTime": int(time.time() * 1000)}}
 
-    def _save(self, df: DataFrame, mode: str, merge_schema: bool, max_records: int) -> int:
+    def _save(self, df: DataFrame, mode: str, merge_schema: bool, max_records: int, read_version: int | None = None) -> int:
         for attempt in range(5):
-            version = self.log.latest()
+            version = self.log.latest() if read_version is None else read_version
+            if version != self.log.latest():
+                raise ConcurrentCommitError(f"{self.path} has changed since version {version} was read")
             meta = self.log.metadata(version)
             schema, parts, actions = self._schema(meta), meta["partitionColumns"], []
             new = [f for f in df.schema if f.name not in schema.names]
@@ -114,7 +118,7 @@ class LakeTable:
             adds, metrics = self._write_files(full, schema, parts, max_records)
             removes = []
             if mode == "overwrite":
-                removes = [_remove(r[0]) for r in self.files().select("path").toLocalIterator()]
+                removes = [_remove(r[0]) for r in self.files(version).select("path").toLocalIterator()]
             try:
                 return self.log.commit(version + 1, "WRITE", [*actions, *removes, *adds], {"mode": mode, "partitionBy": json.dumps(parts)}, metrics)
             except ConcurrentCommitError:
@@ -237,7 +241,8 @@ class LakeTable:
             out = kept if out is None else kept.unionByName(out)
         scan_ms = int((time.time() - began) * 1000)
         adds, wrote = self._write_files(out, schema, parts) if out is not None else ([], {"numFiles": 0, "numOutputRows": 0, "numOutputBytes": 0})
-        before = self.files(version).filter(F.col("path").isin(touched) if touched else F.lit(False)).agg(F.sum("stats.numRecords"), F.sum("size")).first()
+        some = self.spark.createDataFrame([(p,) for p in touched], "path string")
+        before = self.files(version).join(some, "path", "left_semi").agg(F.sum("stats.numRecords"), F.sum("size")).first()
         copied = (before[0] or 0) - updated - deleted
         new_rows = wrote["numOutputRows"] - copied - updated
         feed: list[dict] = []
@@ -313,12 +318,13 @@ class LakeTable:
             n = max(1, int((expected[1] or 0) // target))
             out = rows.select(*schema.names).repartitionByRange(n, *[f"`{p}`" for p in parts], *_interleaved(rows, z_order))
         else:
-            # every bin becomes one task, hence one file
-            url = {_relative(self.path, u): u for u in [r[0] for r in rows.select(FILE).distinct().toLocalIterator()]}
-            names = self.spark.createDataFrame(list(url.items()), "path string, file string")
-            bins = chosen.join(names, "path").select(F.col("file").alias(FILE), F.concat_ws("|", "part", "bin").alias("__bin"))
-            n = bins.select("__bin").distinct().count()
-            out = rows.join(bins, FILE).repartition(n, "__bin").select(*schema.names)
+            # bins are numbered without holes and every number is a task of its own, hence one file
+            named = chosen.select(F.col("path").alias("__name"), F.struct("part", "bin").alias("__bin"))
+            numbers = named.select("__bin").distinct().orderBy("__bin").select("__bin", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("__bin")) - 1).alias("__task"))  # one row per new file
+            bins = materialize(named.join(numbers, "__bin").select("__name", "__task"), "bin-tasks")
+            n = bins.agg(F.max("__task")).first()[0] + 1
+            placed = rows.withColumn("__name", _stored_path(F.col(FILE))).join(bins, "__name")
+            out = placed.repartitionById(n, F.col("__task").cast("int")).select(*schema.names)
         adds, wrote = self._write_files(out, schema, parts)
         if expected[0] is not None and wrote["numOutputRows"] != expected[0]:
             raise ValidationError(f"{wrote['numOutputRows']} rows were written of {expected[0]}; nothing was committed")
@@ -333,8 +339,8 @@ class LakeTable:
             except ConcurrentCommitError:
                 at = self.log.latest()
                 between = self.log.actions(version + 1, at)
-                lost = between.filter(F.col("remove.path").isin(paths) | F.col("metaData").isNotNull())
-                if not lost.isEmpty():
+                gone = between.filter(F.col("remove").isNotNull()).select(F.col("remove.path").alias("path"))
+                if not between.filter(F.col("metaData").isNotNull()).isEmpty() or not gone.join(chosen, "path", "left_semi").isEmpty():
                     raise
 
 
@@ -364,6 +370,12 @@ def _relative(root: str, url: str) -> str:
     return plain[at + len(base) + 1 :] if at >= 0 else plain
 
 
+def _stored_path(url: Column) -> Column:
+    """Path of a data file below the table, as the log has it, from the URL that Spark gives."""
+    plain = F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(plain, rf"({COMMIT}=[0-9a-f]{{32}}/.*)$", 1)
+
+
 def _remove(path: str) -> dict:
     return {"remove": {"path": path, "deletionTimestamp": int(time.time() * 1000), "dataChange": True}}
 

@@ -80,6 +80,15 @@ def test_images(spark, tmp_path):
     assert rows(read_changes(spark, t.path, 5, 5)) == []  # compaction changes no data
 
 
+def test_inserts_of_a_partitioned_table(spark, tmp_path):
+    t = LakeTable.write(spark.createDataFrame([*BASE, (4, "a+b c", 1)], DDL).coalesce(1), str(tmp_path / "t"), partition_by=["gender"], properties={CHANGE_FEED_PROPERTY: "true"})
+    LakeTable.write(spark.createDataFrame([(9, "a+b c", 2)], DDL).coalesce(1), t.path, mode="append")
+    want = [(1, "Male"), (2, "Male"), (3, "Female"), (4, "a+b c"), (9, "a+b c")]
+    assert rows(read_changes(spark, t.path, 0, 1).select("id", "gender")) == want
+    t.compact()
+    assert rows(t.to_df().select("id", "gender")) == want and t.files().count() == 3
+
+
 def test_on_and_off(spark, tmp_path):
     t = make(spark, tmp_path / "t")
     for u in UPDATES[:2]:
