@@ -2,27 +2,30 @@
 
 Each task sorts the values it holds per group into runs; nothing is shuffled for that. A table of runs is
 the summary that pieces of a log, versions or days are put together with: their runs are simply united.
-Groups with few remaining values are finished by one small task each. For the others every run proposes
-the median of its remaining values, the median weighted by their number is the pivot, every run counts
-values below and at the pivot, ruled-out ranges are dropped, and so on for all groups and percentiles at
-once until none is left. Values never leave their run for that, so a group with most of all rows costs
-no more than others. The result has no error at all, hence meets any bound.
+Every run proposes the median of its remaining values, the median weighted by their number is the pivot,
+every run counts values below and at the pivot, ruled-out ranges are dropped, and so on for all groups and
+percentiles at once until none is left. Whole values never leave their run for that, only proposals and
+counts do, combined on the map side, so a group with most of all rows costs no more than others. A range
+that is down to ``last`` values after a round is read out instead of being halved on. The result has no
+error at all, hence meets any bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..common import materialize
+from ..common import materialize, salted_join
 
 PERCENTS = (10, 25, 50, 75, 90, 95)
 FLUSH = 1_000_000
+BROADCAST_ROWS = 100_000  # groups, each with a few numbers for each percentile, that are broadcast at most
 
 
 def sorted_runs(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -61,23 +64,32 @@ def sorted_runs(values: DataFrame, keys: list[str], value: str = "value") -> Dat
     return values.select(*keys, F.col(value).cast("long").alias(value)).filter(F.col(value).isNotNull()).mapInArrow(cut, schema)
 
 
-def _per_run(runs: DataFrame, targets: DataFrame, keys: list[str], pivots: bool) -> DataFrame:
+def _beside(runs: DataFrame, small: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Runs with what ``small`` has for their group: broadcast if that is at most ``BROADCAST_ROWS`` rows,
+    else joined with the runs of each group dealt to several tasks."""
+    if rows <= BROADCAST_ROWS:
+        return runs.join(F.broadcast(small), keys)
+    return salted_join(runs, small, keys, ["run_id"])
+
+
+def _per_run(runs: DataFrame, targets: DataFrame, keys: list[str], pivots: bool, rows: int) -> DataFrame:
     """For each run and open target: without pivots (weight, median) of the remaining values, else the
     numbers of them below and at the pivot."""
     schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], T.StructField("p", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     arrow = pa.schema([*[(k, pa.string()) for k in keys], ("p", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-    grouped = targets.groupBy(*keys).agg(F.collect_list(F.struct("p", "lo", "hi", "pivot")).alias("__t"))
-    joined = runs.join(grouped, keys)  # keys of open targets are never null-safe-compared: see percentiles()
+    grouped = targets.groupBy(*keys).agg(F.collect_list(F.struct("p", "lo", "hi", "pivot")).alias("__t"))  # one for each percentile
+    joined = _beside(runs, grouped, keys, rows)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in arrow]
             names = b.schema.names
             runs_, ts = b.column(names.index("run")), b.column(names.index("__t"))
-            ks = [b.column(names.index(k)) for k in keys]
-            for i in range(b.num_rows):
-                v = runs_[i].values.to_numpy()
-                for t in ts[i].as_py():
+            values, offsets = runs_.values.to_numpy(), runs_.offsets.to_numpy()
+            ks = [b.column(names.index(k)).to_pylist() for k in keys]
+            for i, targets_ in enumerate(ts.to_pylist()):
+                v = values[offsets[i] : offsets[i + 1]]
+                for t in targets_:
                     lo = 0 if t["lo"] is None else int(np.searchsorted(v, t["lo"], "right"))
                     hi = len(v) if t["hi"] is None else int(np.searchsorted(v, t["hi"], "left"))
                     if hi <= lo:
@@ -87,60 +99,66 @@ def _per_run(runs: DataFrame, targets: DataFrame, keys: list[str], pivots: bool)
                         a, c = max(l - lo, 0), max(r - max(l, lo), 0)
                     else:
                         a, c = hi - lo, int(v[(lo + hi - 1) // 2])
-                    for o, x in zip(out, [*[k[i].as_py() for k in ks], t["p"], a, c], strict=True):
+                    for o, x in zip(out, [*[k[i] for k in ks], t["p"], a, c], strict=True):
                         o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(o, type=f.type) for o, f in zip(out, arrow, strict=True)], schema=arrow)
 
     return joined.select(*keys, "run", "__t").mapInArrow(go, schema)
 
 
-def percentiles(runs: DataFrame, keys: list[str], percents: tuple[int, ...] = PERCENTS, direct: int = 4096) -> DataFrame:
+def _weighted_median(proposed: DataFrame, keys: list[str], parts: int = 64) -> DataFrame:
+    """(keys, p, pivot): the weighted median of the proposals of each target. They are dealt to ``parts``
+    first and the parts' weighted medians give the pivot, so no row holds all proposals of a target, however
+    many runs there are; a quarter of the values at least lies on either side of it, or it is hit."""
+    target = [*keys, "p"]
+    half = lambda l: F.aggregate(l, F.struct(F.lit(0).cast("long").alias("s"), F.lit(None).cast("long").alias("m")), lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["m"].isNull() & ((a["s"] + x["w"]) * 2 >= F.col("all")), x["m"]).otherwise(a["m"]).alias("m")))["m"]
+    one = lambda t, by: t.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("m", "w"))).alias("l"), F.sum("w").alias("all"))
+    dealt = one(proposed.withColumn("part", F.pmod(F.xxhash64("m", "w"), F.lit(parts))), [*target, "part"])
+    return one(dealt.select(*target, half(F.col("l")).alias("m"), F.col("all").alias("w")), target).select(*target, half(F.col("l")).alias("pivot"))
+
+
+def percentiles(runs: DataFrame, keys: list[str], percents: tuple[int, ...] = PERCENTS, last: int = 256) -> DataFrame:
     """(keys, n, p10, ...): the value at position ceil(p*n/100) of each group in ascending order.
 
-    ``direct``: a group (or what is left of it) of at most so many values is finished in one task; a
-    bound on memory, not on results. Empty input gives no groups; equal values are no special case.
+    ``last``: what is left of a target's range after a round of selection is read out once it has so few
+    values. Empty input gives no groups; equal values are no special case.
     """
     names, keys = keys, [f"__k{i}" for i in range(len(keys))]  # the names may be any, also those used below
-    runs = materialize(runs.select(*[F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`")), F.lit("")).alias(k) for k, c in zip(keys, names, strict=True)], "run"), "runs")
-    counts = runs.groupBy(*keys).agg(F.sum(F.size("run")).cast("long").alias("n"))
-    counts = materialize(counts, "counts")
+    runs = runs.select(*[F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`")), F.lit("")).alias(k) for k, c in zip(keys, names, strict=True)], "run", F.monotonically_increasing_id().alias("run_id"))
+    runs = materialize(runs, "runs")
+    counts = materialize(runs.groupBy(*keys).agg(F.sum(F.size("run")).cast("long").alias("n")), "counts")
     rank = lambda p: ((F.col("n") * p + 99) / 100).cast("long")
     ps = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), rank(p).alias("k")) for p in percents])).alias("__x")
-    targets = counts.filter(F.col("n") > direct).select(*keys, "n", ps).select(*keys, F.col("__x.p").alias("p"), F.col("__x.k").alias("k"), F.col("n").alias("left"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
-    # groups that fit in a task
-    small = runs.join(counts.filter(F.col("n") <= direct).drop("n"), keys, "left_semi")
-    gathered = small.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("run"))).alias("v"))
-    n = F.size("v").cast("long")
-    found = gathered.select(*keys, n.alias("n"), F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.element_at("v", ((n * p + 99) / 100).cast("int")).alias("value")) for p in percents])).alias("x"))
-    done = [found.select(*keys, F.col("x.p").alias("p"), F.col("x.value").alias("value"))]
-    targets = materialize(targets, "targets")
-    hot = None
-    while not targets.isEmpty():
-        if hot is None:
-            hot = materialize(runs.join(targets.select(*keys).distinct(), keys, "left_semi"), "hot-runs")
-        proposed = _per_run(hot, targets.withColumn("pivot", F.lit(None).cast("long")), keys, False).withColumnsRenamed({"a": "w", "b": "m"})
-        # one row per run and target: sorted per target, not per value
-        lists = proposed.groupBy(*keys, "p").agg(F.array_sort(F.collect_list(F.struct("m", "w"))).alias("l"), F.sum("w").alias("all"))
-        walk = F.aggregate("l", F.struct(F.lit(0).cast("long").alias("s"), F.lit(None).cast("long").alias("m")), lambda a, x: F.struct((a["s"] + x["w"]).alias("s"), F.when(a["m"].isNull() & ((a["s"] + x["w"]) * 2 >= F.col("all")), x["m"]).otherwise(a["m"]).alias("m")))
-        pivoted = targets.join(lists.select(*keys, "p", walk["m"].alias("pivot")), [*keys, "p"])
-        pivoted = materialize(pivoted, "pivots")
-        counted = _per_run(hot, pivoted, keys, True).groupBy(*keys, "p").agg(F.sum("a").alias("lt"), F.sum("b").alias("eq"))
-        step = materialize(pivoted.join(counted, [*keys, "p"]), "step")
-        hit = (F.col("k") > F.col("lt")) & (F.col("k") <= F.col("lt") + F.col("eq"))
-        done.append(step.filter(hit).select(*keys, "p", F.col("pivot").alias("value")))
-        below = F.col("k") <= F.col("lt")
-        rest = step.filter(~hit).select(
-            *keys, "p",
+    null = F.lit(None).cast("long")
+    targets = counts.select(*keys, ps).select(*keys, F.col("__x.p").alias("p"), F.col("__x.k").alias("k"), null.alias("lo"), null.alias("hi"))
+    targets = targets.join(counts.withColumnRenamed("n", "left"), keys)
+    done, few, open_ = [], [], counts.count()
+    while open_:
+        proposed = _per_run(runs, targets.withColumn("pivot", null), keys, False, open_).withColumnsRenamed({"a": "w", "b": "m"})
+        pivoted = materialize(targets.join(_weighted_median(proposed, keys), [*keys, "p"]), "pivots")
+        counted = _per_run(runs, pivoted, keys, True, open_).groupBy(*keys, "p").agg(F.sum("a").alias("lt"), F.sum("b").alias("eq"))
+        below, above = F.col("k") <= F.col("lt"), F.col("k") > F.col("lt") + F.col("eq")
+        step = materialize(pivoted.join(counted, [*keys, "p"]).select(
+            *keys, "p", "pivot", (~below & ~above).alias("hit"),
             F.when(below, F.col("k")).otherwise(F.col("k") - F.col("lt") - F.col("eq")).alias("k"),
             F.when(below, F.col("lt")).otherwise(F.col("left") - F.col("lt") - F.col("eq")).alias("left"),
             F.when(below, F.col("lo")).otherwise(F.col("pivot")).alias("lo"),
             F.when(below, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
-        )
-        few = rest.filter(F.col("left") <= direct)
-        inside = hot.join(few, keys).select(*keys, "p", "k", F.filter("run", lambda x: (F.col("lo").isNull() | (x > F.col("lo"))) & (F.col("hi").isNull() | (x < F.col("hi")))).alias("run"))
-        last = inside.groupBy(*keys, "p").agg(F.first("k").alias("k"), F.array_sort(F.flatten(F.collect_list("run"))).alias("v"))
-        done.append(last.select(*keys, "p", F.element_at("v", F.col("k").cast("int")).alias("value")))
-        targets = materialize(rest.filter(F.col("left") > direct), "targets")
+        ), "step")
+        done.append(step.filter("hit").select(*keys, "p", F.col("pivot").alias("value")))
+        rest = step.filter("NOT hit").drop("hit", "pivot")
+        few.append(rest.filter(F.col("left") <= last))
+        targets = rest.filter(F.col("left") > last)
+        open_ = targets.count()
+    if not done:
+        return counts.select(*[F.col(k).alias(c) for k, c in zip(keys, names, strict=True)], "n", *[null.alias(f"p{p}") for p in percents])
+    # what is left of all ranges is read out in one go
+    small = reduce(DataFrame.unionByName, few).groupBy(*keys).agg(F.collect_list(F.struct("p", "k", "lo", "hi")).alias("__t"))
+    small = materialize(small, "few")
+    inside = lambda t: F.filter("run", lambda x: (t["lo"].isNull() | (x > t["lo"])) & (t["hi"].isNull() | (x < t["hi"])))
+    read = _beside(runs, small, keys, small.count()).select(*keys, "run", F.explode("__t").alias("t")).select(*keys, F.col("t.p").alias("p"), F.col("t.k").alias("k"), F.explode(inside(F.col("t"))).alias("x"))
+    ends = read.groupBy(*keys, "p").agg(F.first("k").alias("k"), F.array_sort(F.collect_list("x")).alias("v"))  # at most ``last`` values
+    done.append(ends.select(*keys, "p", F.element_at("v", F.col("k").cast("int")).alias("value")))
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)

@@ -15,8 +15,9 @@ from ..conftest import rows
 # ---------------------------------------------------------------- percentiles
 
 
-@pytest.mark.parametrize("direct", [4, 4096])
-def test_percentiles_against_brute_force(spark, direct):
+@pytest.mark.parametrize(("last", "broadcast"), [(4, 100_000), (64, 0)])
+def test_percentiles_against_brute_force(spark, monkeypatch, last, broadcast):
+    monkeypatch.setattr(multiselect, "BROADCAST_ROWS", broadcast)
     rng = random.Random(5)
     data = [("hot", "x", rng.randint(0, 50) ** 3) for _ in range(900)] + [(f"g{i % 7}", None, rng.randint(-5, 5)) for i in range(60)] + [(None, "x", 3)] + [("all equal", "", 7)] * 300 + [("nulls", "", None)] * 5
     df = spark.createDataFrame(data, "a string, b string, value long").repartition(5)
@@ -24,7 +25,7 @@ def test_percentiles_against_brute_force(spark, direct):
     for a, b, v in data:
         if v is not None:
             want[a, b].append(v)
-    got = multiselect.percentiles(multiselect.sorted_runs(df, ["a", "b"]), ["a", "b"], direct=direct)
+    got = multiselect.percentiles(multiselect.sorted_runs(df, ["a", "b"]), ["a", "b"], last=last)
     expected = sorted([(a, b, len(v), *[sorted(v)[math.ceil(p * len(v) / 100) - 1] for p in multiselect.PERCENTS]) for (a, b), v in want.items()], key=repr)
     assert rows(got) == expected
 
@@ -32,7 +33,7 @@ def test_percentiles_against_brute_force(spark, direct):
 def test_percentiles_of_pieces_and_of_nothing(spark):
     df = spark.createDataFrame([("k", i) for i in range(101)], "k string, value long")
     day1, day2 = multiselect.sorted_runs(df.filter("value < 40"), ["k"]), multiselect.sorted_runs(df.filter("value >= 40"), ["k"])
-    assert rows(multiselect.percentiles(day1.union(day2), ["k"], direct=8)) == [("k", 101, 10, 25, 50, 75, 90, 95)]
+    assert rows(multiselect.percentiles(day1.union(day2), ["k"], last=8)) == [("k", 101, 10, 25, 50, 75, 90, 95)]
     assert rows(multiselect.percentiles(multiselect.sorted_runs(df.limit(0), ["k"]), ["k"])) == []
 
 
