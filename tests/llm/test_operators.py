@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lakekit.errors import ConcurrentCommitError
 from lakekit.llm import leaks, mixture, multiselect, name_index, sentences
 from lakekit.llm.subtitles import repair, spoken
 
@@ -70,12 +71,30 @@ def test_reopened_index_and_repeated_append(spark, tmp_path):
     batch = spark.createDataFrame([(7, "Ana", "Smith")], "id int, firstname string, lastname string")
     first = name_index.NameIndex(spark, str(tmp_path / "i"))
     _, entries = first.prepare(spark.createDataFrame(PEOPLE, "id int, firstname string, lastname string"))
-    first.append(entries)
+    first.append(entries, "a")
+    first.append(entries, "a")
+    assert first.cells().count() == entries.count()
     first.append(entries)
     again = name_index.NameIndex(spark, str(tmp_path / "i"))
     assert rows(again.probe(*again.prepare(batch))) == [(2, 7)]
 
 
+def test_names_merged_parts_and_races(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(name_index, "MERGE_AFTER", 2)
+    one = lambda i, f: spark.createDataFrame([(i, f, "Smith")], "id int, firstname string, lastname string")
+    index = name_index.NameIndex(spark, str(tmp_path / "i"))
+    for i, f in enumerate(("Ana", "Bert", "Cora")):
+        index.append(index.prepare(one(i, f))[1])
+    assert len(index._state()[1]["folders"]) == 1 and index.cells().count() == 3
+    state = index._state()
+    monkeypatch.setattr(index, "_state", lambda: state)
+    index.append(index.prepare(one(7, "Dora"))[1])
+    with pytest.raises(ConcurrentCommitError):
+        index.append(index.prepare(one(8, "Emil"))[1])
+    again = name_index.NameIndex(spark, str(tmp_path / "i"))
+    assert again.cells().count() == 4 and rows(again.probe(*again.prepare(one(9, "Corra")))) == [(2, 9)]
+
+
 def osa(a, b):
     d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
     for i in range(1, len(a) + 1):
