@@ -54,7 +54,7 @@ def fold_word(w: str) -> str:
     if not w.isascii() or "ss" in w:
         w = _LATIN_MARKED.sub("*", w).strip("*")
     w = _PUNCT.sub("", w.replace("*", "\x00")).replace("\x00", "*") if not w.isalpha() else w
-    return w.translate(_FOLD).replace("rn", "m").replace("vv", "w").replace("ii", "ii")
+    return w.translate(_FOLD).replace("rn", "m").replace("vv", "w")
 
 
 _ONLY_CJK, _ONLY_THAI = re.compile("[\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]"), re.compile("[\u0e00-\u0e7f]")

@@ -123,7 +123,10 @@ def mix_sources(docs: DataFrame, weights: DataFrame, total: int | None = None, s
     """
     spark = docs.sparkSession
     named = docs.select("doc_id", source_name(F.col("source")).alias("source"), language_name(F.col("lang")).alias("language"), "text")
-    wanted = {r["source"]: (float(r["target_weight"]), int(r["max_repeats"])) for r in weights.dropna(subset=["source", "target_weight", "max_repeats"]).select(source_name(F.col("source")).alias("source"), "target_weight", "max_repeats").limit(MAX_LEAVES).collect()}
+    listed = weights.dropna(subset=["source", "target_weight", "max_repeats"]).select(source_name(F.col("source")).alias("source"), "target_weight", "max_repeats").limit(MAX_LEAVES + 1).collect()
+    if len(listed) > MAX_LEAVES:
+        raise ValueError(f"more than {MAX_LEAVES} sources have a weight")
+    wanted = {r["source"]: (float(r["target_weight"]), int(r["max_repeats"])) for r in listed}
     sized = materialize(count_tokens(named.filter(F.col("source").isNotNull() & F.col("text").isNotNull()), tokenizer=tokenizer).filter("tokens > 0"), "tokens")
     key = F.xxhash64(F.col("doc_id"), F.col("tokens"), F.lit(seed))
     leaf = ["source", "language"]

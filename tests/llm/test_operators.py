@@ -272,7 +272,7 @@ def leak_docs():
     whole = cue(words[:9], words[9:])
     return [
         (1, whole), (2, whole.upper()), (3, cue(["So"] + words[2:8], words[8:16])), (4, cue(words[:6], words[6:13])), (5, whole.replace("lanterns", "Ianfcrns").replace("storm", "storrn")),
-        (6, None), (7, ""), (8, cue(words[:8] + ["really"], words[8:])), (9, cue(words[:5] + ["3.5"], words[5:15])),
+        (6, None), (7, ""), (10, cue(["Our", "team", "for", "more"] + words[:9], words[9:15])), (8, cue(words[:8] + ["really"], words[8:])), (9, cue(words[:5] + ["3.5"], words[5:15])),
     ]
 
 
@@ -283,7 +283,7 @@ def test_leaks(spark, monkeypatch, limit):
     zh = "他藏起了一只风川木竹因为没有人在地下室里带着每一座谷川星风川木竹梅灯桥木在港口附近"
     items = spark.createDataFrame([(70, ITEM), (71, "too short"), (72, None), (73, zh)], "item_id int, text string")
     docs = docs.union(spark.createDataFrame([(20, "1\n00:00:01,000 --> 00:00:02,000\n" + zh[:20] + "\n" + zh[20:36] + "。我\n"), (21, zh[:35])], docs.schema))
-    assert rows(leaks.leaks(docs, items)) == [(1, 70), (2, 70), (20, 73), (3, 70), (5, 70), (9, 70)]
+    assert rows(leaks.leaks(docs, items)) == [(1, 70), (10, 70), (2, 70), (20, 73), (3, 70), (5, 70), (9, 70)]
     assert rows(leaks.leaks(docs.limit(0), items)) == [] and rows(leaks.leaks(docs, items.limit(0))) == []
 
 
@@ -309,6 +309,13 @@ def test_deal():
     assert mixture.budgets(tree, 300) == {("x", "en"): 5, ("x", "de"): 100, ("y", "en"): 195}  # then the parent's
 
 
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "MAX_LEAVES", 2)
+    docs = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
+    with pytest.raises(ValueError, match="sources"):
+        mixture.mix_sources(docs, spark.createDataFrame([(f"s{i}", 1.0, 1) for i in range(3)], "source string, target_weight double, max_repeats int"))
+
+
 def test_mix(spark):
     docs = spark.createDataFrame([(i, "word " * (5 + i % 7), ("A ", "b-c", None, "d")[i % 4], ("en", "ger", None)[i % 3]) for i in range(240)], "doc_id long, text string, source string, lang string")
     weights = spark.createDataFrame([("a", 0.5, 2), ("b_c", 0.4, 1), ("gone", 0.1, 3)], "source string, target_weight double, max_repeats int")
