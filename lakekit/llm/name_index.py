@@ -107,7 +107,7 @@ def forms(rows: DataFrame, id_col: str, first: str, last: str, others: list[str]
     return w.select("id", F.array_min(turned).alias("form"), *(others or []))
 
 
-GROUPS, BASE, SHARDS, RADIUS = 8, 64, 64, 2
+GROUPS, BASE, SHARDS, RADIUS = 12, 32, 64, 2
 MERGE_AFTER = 12  # appends that are kept apart, at most
 
 
@@ -216,7 +216,7 @@ class NameIndex:
         query = probes(entries)
         touched = [r[0] for r in query.select("shard").distinct().collect()]  # of ``SHARDS`` at most
         there = self.cells().filter(F.col("shard").isin(touched)).unionByName(entries).select("cell", "form", "vector", "first_id")
-        met = there.join(query.select("cell", "q", "q_vector", "q_id"), "cell").filter(F.col("first_id") < F.col("q_id"))
+        met = there.join(query.select("cell", "q", "q_vector", "q_id").hint("shuffle_hash"), "cell").filter(F.col("first_id") < F.col("q_id"))
         # full vectors within the radius (in unary each moved letter is one edit or two), then the exact check
         near = met.filter((F.levenshtein("vector", "q_vector", RADIUS) >= 0) & same_name(F.col("form"), F.col("q"))).groupBy("q").agg(F.min("first_id").alias("near"))
         own = rows.groupBy("form").agg(F.min("id").alias("own"))
