@@ -1,7 +1,7 @@
 """Exact percentiles per group by distributed multi-select over mergeable sorted runs.
 
-Each task sorts the values it holds per group into runs; nothing is shuffled for that. A table of runs is
-the summary that pieces of a log, versions or days are put together with: their runs are simply united.
+Values are brought together by group once (a group too large for a task is dealt to several) and each task
+sorts what it holds of a group into runs. A table of runs is the summary that pieces of a log, versions or days are put together with: their runs are simply united.
 Every run proposes the median of its remaining values, the median weighted by their number is the pivot,
 every run counts values below and at the pivot, ruled-out ranges are dropped, and so on for all groups and
 percentiles at once until none is left. Whole values never leave their run for that, only proposals and
@@ -21,16 +21,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..common import materialize, salted_join
+from ..common import materialize
 
 PERCENTS = (10, 25, 50, 75, 90, 95)
 FLUSH = 1_000_000
-BROADCAST_ROWS = 100_000  # groups, each with a few numbers for each percentile, that are broadcast at most
+BROADCAST_ROWS = 10_000  # groups, each with a few numbers for each percentile (about 700 bytes), that are broadcast at most
+PARTS = 16  # tasks that the runs of a group are dealt to at most where they are joined
 
 
 def sorted_runs(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys, run): per task and group the sorted non-null values, at most ``FLUSH`` rows at a time.
-    Null keys are groups of their own; text keys only."""
+    Null keys are groups of their own; text keys only. Values scattered over many tasks would give runs of
+    one value each, so they are shuffled by group before, partitions of hot groups split by size."""
     schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], T.StructField("run", T.ArrayType(T.LongType()))])
     arrow = pa.schema([*[(k, pa.string()) for k in keys], ("run", pa.list_(pa.int64()))])
 
@@ -61,15 +63,23 @@ def sorted_runs(values: DataFrame, keys: list[str], value: str = "value") -> Dat
         if held:
             yield from one(held)
 
-    return values.select(*keys, F.col(value).cast("long").alias(value)).filter(F.col(value).isNotNull()).mapInArrow(cut, schema)
+    known = values.select(*keys, F.col(value).cast("long").alias(value)).filter(F.col(value).isNotNull())
+    return known.hint("rebalance", *[F.col(k) for k in keys]).mapInArrow(cut, schema)
+
+
+def _join(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Equi-join without broadcast: Spark would judge by the size of compressed files, which says little
+    about rows of repeated names in the driver's memory."""
+    return big.join(small.hint("merge"), on)
 
 
 def _beside(runs: DataFrame, small: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """Runs with what ``small`` has for their group: broadcast if that is at most ``BROADCAST_ROWS`` rows,
-    else joined with the runs of each group dealt to several tasks."""
+    else joined with the runs of each group dealt to several tasks; a row is repeated only for those of the
+    ``parts`` that have runs of its group."""
     if rows <= BROADCAST_ROWS:
-        return runs.join(F.broadcast(small), keys)
-    return salted_join(runs, small, keys, ["run_id"])
+        return runs.join(F.broadcast(small.drop("parts")), keys)
+    return _join(runs, small.withColumn("part", F.explode("parts")).drop("parts"), [*keys, "part"])
 
 
 def _per_run(runs: DataFrame, targets: DataFrame, keys: list[str], pivots: bool, rows: int) -> DataFrame:
@@ -77,7 +87,7 @@ def _per_run(runs: DataFrame, targets: DataFrame, keys: list[str], pivots: bool,
     numbers of them below and at the pivot."""
     schema = T.StructType([*[T.StructField(k, T.StringType()) for k in keys], T.StructField("p", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     arrow = pa.schema([*[(k, pa.string()) for k in keys], ("p", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
-    grouped = targets.groupBy(*keys).agg(F.collect_list(F.struct("p", "lo", "hi", "pivot")).alias("__t"))  # one for each percentile
+    grouped = targets.groupBy(*keys).agg(F.first("parts").alias("parts"), F.collect_list(F.struct("p", "lo", "hi", "pivot")).alias("__t"))  # one for each percentile
     joined = _beside(runs, grouped, keys, rows)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,22 +134,21 @@ def percentiles(runs: DataFrame, keys: list[str], percents: tuple[int, ...] = PE
     values. Empty input gives no groups; equal values are no special case.
     """
     names, keys = keys, [f"__k{i}" for i in range(len(keys))]  # the names may be any, also those used below
-    runs = runs.select(*[F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`")), F.lit("")).alias(k) for k, c in zip(keys, names, strict=True)], "run", F.monotonically_increasing_id().alias("run_id"))
+    runs = runs.select(*[F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`")), F.lit("")).alias(k) for k, c in zip(keys, names, strict=True)], "run", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PARTS)).cast("int").alias("part"))
     runs = materialize(runs, "runs")
-    counts = materialize(runs.groupBy(*keys).agg(F.sum(F.size("run")).cast("long").alias("n")), "counts")
+    counts = materialize(runs.groupBy(*keys).agg(F.sum(F.size("run")).cast("long").alias("n"), F.collect_set("part").alias("parts")), "counts")
     rank = lambda p: ((F.col("n") * p + 99) / 100).cast("long")
     ps = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), rank(p).alias("k")) for p in percents])).alias("__x")
     null = F.lit(None).cast("long")
-    targets = counts.select(*keys, ps).select(*keys, F.col("__x.p").alias("p"), F.col("__x.k").alias("k"), null.alias("lo"), null.alias("hi"))
-    targets = targets.join(counts.withColumnRenamed("n", "left"), keys)
+    targets = counts.select(*keys, "parts", "n", ps).select(*keys, "parts", F.col("__x.p").alias("p"), F.col("__x.k").alias("k"), null.alias("lo"), null.alias("hi"), F.col("n").alias("left"))
     done, few, open_ = [], [], counts.count()
     while open_:
         proposed = _per_run(runs, targets.withColumn("pivot", null), keys, False, open_).withColumnsRenamed({"a": "w", "b": "m"})
-        pivoted = materialize(targets.join(_weighted_median(proposed, keys), [*keys, "p"]), "pivots")
+        pivoted = materialize(_join(targets, _weighted_median(proposed, keys), [*keys, "p"]), "pivots")
         counted = _per_run(runs, pivoted, keys, True, open_).groupBy(*keys, "p").agg(F.sum("a").alias("lt"), F.sum("b").alias("eq"))
         below, above = F.col("k") <= F.col("lt"), F.col("k") > F.col("lt") + F.col("eq")
-        step = materialize(pivoted.join(counted, [*keys, "p"]).select(
-            *keys, "p", "pivot", (~below & ~above).alias("hit"),
+        step = materialize(_join(pivoted, counted, [*keys, "p"]).select(
+            *keys, "p", "parts", "pivot", (~below & ~above).alias("hit"),
             F.when(below, F.col("k")).otherwise(F.col("k") - F.col("lt") - F.col("eq")).alias("k"),
             F.when(below, F.col("lt")).otherwise(F.col("left") - F.col("lt") - F.col("eq")).alias("left"),
             F.when(below, F.col("lo")).otherwise(F.col("pivot")).alias("lo"),
@@ -153,7 +162,7 @@ def percentiles(runs: DataFrame, keys: list[str], percents: tuple[int, ...] = PE
     if not done:
         return counts.select(*[F.col(k).alias(c) for k, c in zip(keys, names, strict=True)], "n", *[null.alias(f"p{p}") for p in percents])
     # what is left of all ranges is read out in one go
-    small = reduce(DataFrame.unionByName, few).groupBy(*keys).agg(F.collect_list(F.struct("p", "k", "lo", "hi")).alias("__t"))
+    small = reduce(DataFrame.unionByName, few).groupBy(*keys).agg(F.first("parts").alias("parts"), F.collect_list(F.struct("p", "k", "lo", "hi")).alias("__t"))
     small = materialize(small, "few")
     inside = lambda t: F.filter("run", lambda x: (t["lo"].isNull() | (x > t["lo"])) & (t["hi"].isNull() | (x < t["hi"])))
     read = _beside(runs, small, keys, small.count()).select(*keys, "run", F.explode("__t").alias("t")).select(*keys, F.col("t.p").alias("p"), F.col("t.k").alias("k"), F.explode(inside(F.col("t"))).alias("x"))
@@ -164,7 +173,7 @@ def percentiles(runs: DataFrame, keys: list[str], percents: tuple[int, ...] = PE
         every = every.unionByName(d)
     wide = every.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p}") for p in percents])
     plain = [F.when(F.col(k) != "", F.substring(k, 2, 2147483647)).alias(c) for k, c in zip(keys, names, strict=True)]
-    return counts.join(wide, keys).select(*plain, "n", *[f"p{p}" for p in percents])
+    return _join(counts, wide, keys).select(*plain, "n", *[f"p{p}" for p in percents])
 
 
 def file_metrics(live: DataFrame) -> DataFrame:

@@ -38,6 +38,19 @@ def test_percentiles_of_pieces_and_of_nothing(spark):
     assert rows(multiselect.percentiles(multiselect.sorted_runs(df.limit(0), ["k"]), ["k"])) == []
 
 
+def test_percentiles_of_many_groups_go_without_broadcast(spark, monkeypatch):
+    df = spark.range(4000).selectExpr("concat('g', id % 40) AS k", "id AS value").repartition(16)
+    runs = multiselect.sorted_runs(df, ["k"])
+    assert runs.count() == 40  # one run a group, however many tasks held its values
+    monkeypatch.setattr(multiselect, "BROADCAST_ROWS", 0)
+    plans, write = [], multiselect.materialize
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(multiselect, "materialize", lambda d, name: (plans.append(plan(d)), write(d, name))[1])
+    got = multiselect.percentiles(runs, ["k"], last=4)
+    assert got.count() == 40 and got.filter("k = 'g7'").first()[:4] == ("g7", 100, 7 + 40 * 9, 7 + 40 * 24)
+    assert len(plans) > 4 and not any("Broadcast" in p for p in [*plans, plan(got)])
+
+
 # ---------------------------------------------------------------- names
 
 PEOPLE = [(1, "José", "Garcia-Lopez"), (2, "Anna", "Smith"), (3, None, None), (4, "Madonna", ""), (5, "Bo", "Li")]
