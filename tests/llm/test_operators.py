@@ -267,6 +267,21 @@ def test_a_fitted_model_learns_words():
     assert len(sentences.sentence_ends(broken, {"ja": m})) == 2
 
 
+def test_models_are_fitted_on_all_documents(spark):
+    rng = random.Random(8)
+    nouns, verbs = ["石川", "雲山", "木橋", "灯台"], ["食べた", "見つけた", "忘れた"]
+    line = lambda: rng.choice(nouns) + "が" + rng.choice(nouns) + "を" + rng.choice(verbs)
+    ja = ["".join(line() + "。\n" for _ in range(30)) for _ in range(20)] + [cues(*[line() for _ in range(10)]) for _ in range(20)]
+    en = ["The fox slept in the barn. She saw the moon! The cat ran over a hill?\n" * 4] * 8 + ["The dog sat on the zorgle. " * 8_000]  # the last one is longer than 200,000 letters
+    got = sentences.train_on(spark.createDataFrame([(t,) for t in [*ja, *en, None, ""]], "text string").repartition(3))
+    assert set(got) == {"ja", "en"} and "zorgle" in got["en"].common
+    for name, texts in (("ja", ja), ("en", en)):
+        want = sentences.train(name, [spoken(t) for t in texts])
+        assert got[name].common == want.common and got[name].dictionary.costs.keys() == want.dictionary.costs.keys()
+        assert got[name].weights.keys() == want.weights.keys() and got[name].priors == pytest.approx(want.priors, abs=1e-6)
+        assert got[name].weights == pytest.approx(want.weights, abs=1e-6) and got[name].bias == pytest.approx(want.bias, abs=1e-6)
+
+
 def test_adverts_are_told_by_their_line():
     speech = ["Our team won the final.", "For more than an hour we waited.", "I bought it on amazon.com yesterday, of course.", "Translated by my sister, it sold well.", "Write to me at john@mail.com", "He downloaded it for more money."]
     assert spoken("\n".join(speech)) == "\n".join(speech)
