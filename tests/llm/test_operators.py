@@ -1,6 +1,7 @@
 import math
 import random
-from collections import defaultdict
+import tracemalloc
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakekit.errors import ConcurrentCommitError
-from lakekit.llm import leaks, mixture, multiselect, name_index, sentences
+from lakekit.llm import fitting, leaks, mixture, multiselect, name_index, sentences
 from lakekit.llm.subtitles import repair, spoken
 
 from ..conftest import rows
@@ -282,6 +283,31 @@ def test_models_are_fitted_on_all_documents(spark):
         assert got[name].weights == pytest.approx(want.weights, abs=1e-6) and got[name].bias == pytest.approx(want.bias, abs=1e-6)
 
 
+@pytest.mark.parametrize("whole", [fitting.WHOLE, 0])
+def test_the_driver_does_not_hold_the_features(spark, monkeypatch, whole):
+    monkeypatch.setattr(fitting, "WHOLE", whole)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    en = ["".join(f"The {word()} {word()} saw that {word()} near the {word()}. She {word()} it!\n" for _ in range(25)) + cues(*[f"Our {word()} sat" for _ in range(9)]) for _ in range(80)]
+    wrong = "Он продал лодку после грозы. Она рисовал эту гору, а потом ушла домой.".encode().decode("cp1252", "replace")
+    other = ["雲山が木橋を見つけた。灯台が石川を忘れた。\n" * 9, cues("その話を聞いて", "私はとても驚いた。"), "เมื่อวานฉันไปห้องสมุด วันนี้ฝนตกหนัก", wrong, "...", "\u201cNo,\u201d he said. \u201cNever!"]
+    docs = spark.createDataFrame([*enumerate([*en, *other, None, ""]), (None, en[0]), (3, "Twice. Here!")], "doc_id long, text string").repartition(3)
+    tracemalloc.start()
+    got = rows(sentences.found_sentences(docs))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    models = sentences.train_on(docs)
+    held = len(models["en"].weights)
+    assert got == rows(sentences.found_sentences(docs, models=models)) and len(got) > 2000
+    assert held > 15_000 and most < 130 * held  # bytes; the names alone take more
+
+
+def test_runs_of_letters_are_counted_with_their_neighbours():
+    runs = Counter({"あいう": 3, "えあい": 2, "あい": 20})
+    got = {w: (n, free) for ws, ns, fs in fitting._runs_of("ja", *fitting._summed(*fitting._suffixes(list(runs), list(runs.values()))), 5, 0.6) for w, n, free in zip(ws, ns.tolist(), fs.tolist(), strict=True)}
+    assert got == {"あ": (25, False), "い": (25, False), "う": (3, False), "え": (2, False), "あい": (25, True)}
+
+
 def test_adverts_are_told_by_their_line():
     speech = ["Our team won the final.", "For more than an hour we waited.", "I bought it on amazon.com yesterday, of course.", "Translated by my sister, it sold well.", "Write to me at john@mail.com", "He downloaded it for more money."]
     assert spoken("\n".join(speech)) == "\n".join(speech)
